@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmill.functions.sites import SITE_PATTERN, site
+from corpusmill.llm.site_lines import repeated_lines
 from corpusmill.llm.topn import top_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,19 @@ select page_id, hit_id from (
   select page_id, hit_id, row_number() over (partition by page_id order by score desc, hit_id) as rn from h) t
 where rn <= 3
 """
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(_table(spark, sf_dir, "crawl_pages"), "page_id", site("origin"), "blocks", 5)
+
+
+QUERIES["p3_found"] = p3_found
+ORACLE["p3_found"] = f"""
+with p as (select distinct page_id, regexp_extract(lower(origin), '{SITE_PATTERN}', 1) as site, blocks from crawl_pages),
+b as (select page_id, site, unnest(blocks) as b, unnest(range(len(blocks))) as block_pos from p where len(blocks) > 0),
+t as (select page_id, site, block_pos, string_split(b.text, chr(10)) as ls from b where b.kind <> 'code' and b.text is not null),
+l as (select page_id, site, block_pos, unnest(ls) as line, unnest(range(len(ls))) as line_no from t),
+k as (select page_id, site, block_pos, line_no, regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') as key from l),
+g as (select site, key from k where key <> '' group by site, key having count(distinct page_id) >= 5)
+select distinct page_id, cast(block_pos as int) as block_pos, cast(line_no as int) as line_no from k join g using (site, key)
+"""
