@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.llm.site_lines import repeated_lines
+from corpusmill.llm.split import split_oversized
 from corpusmill.llm.topn import top_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +48,26 @@ k as (select page_id, site, block_pos, line_no, regexp_replace(lower(line), '[^\
 g as (select site, key from k where key <> '' group by site, key having count(distinct page_id) >= 5)
 select distinct page_id, cast(block_pos as int) as block_pos, cast(line_no as int) as line_no from k join g using (site, key)
 """
+
+
+def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces themselves, of all three fields."""
+    sections, units = _table(spark, sf_dir, "block_sections"), _table(spark, sf_dir, "parent_child_units")
+    parts = []
+    for field, df, idx, text, limit, overlap in (("section", sections, "section_index", "text", 500, 80), ("parent", units, "parent_index", "parent_text", 500, 80), ("child", units, "child_index", "child_text", 200, 40)):
+        parts.append(split_oversized(df, ["page_id", idx], text, limit, overlap).withColumnRenamed(idx, "idx").withColumn("field", F.lit(field)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pieces(spark, sf_dir).where("piece = 1").select("field", "page_id", "idx").distinct()
+
+
+QUERIES["p5_found"] = p5_found
+QUERIES["p5_pieces"] = p5_pieces
+_TOKENS = r"len(regexp_extract_all({0}, '[\pL\pN_]+|[^\pL\pN_\s\x1c-\x1f\x85\pZ]'))"
+ORACLE["p5_found"] = f"""
+select distinct 'section' as field, page_id, section_index as idx from block_sections where {_TOKENS.format("text")} > 500
+union select distinct 'parent', page_id, parent_index from parent_child_units where {_TOKENS.format("parent_text")} > 500
+union select distinct 'child', page_id, child_index from parent_child_units where {_TOKENS.format("child_text")} > 200
+"""
