@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.llm.site_lines import repeated_lines
 from corpusmill.llm.split import split_oversized
+from corpusmill.llm.stuffing import stuffed
 from corpusmill.llm.topn import top_n
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,10 @@ select distinct 'section' as field, page_id, section_index as idx from block_sec
 union select distinct 'parent', page_id, parent_index from parent_child_units where {_TOKENS.format("parent_text")} > 500
 union select distinct 'child', page_id, child_index from parent_child_units where {_TOKENS.format("child_text")} > 200
 """
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffed(_table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+QUERIES["p9_found"] = p9_found
