@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.sites import SITE_PATTERN, site
+from corpusmill.llm.leaks import leaks
 from corpusmill.llm.site_lines import repeated_lines
 from corpusmill.llm.split import split_oversized
 from corpusmill.llm.stuffing import stuffed
@@ -79,3 +80,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p9_found"] = p9_found
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text", 12)
+
+
+QUERIES["p7_found"] = p7_found
+_SHINGLES = "select {0}, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda k: array_to_string(w[k:k + 11], ' '))) as s from (select {0}, regexp_extract_all(lower(text), '[\\pL\\pN]+') as w from {1} where text is not null) where len(w) >= 12"
+ORACLE["p7_found"] = f"""
+with d as ({_SHINGLES.format("doc_id", "documents")}), i as ({_SHINGLES.format("item_id", "eval_items")})
+select distinct doc_id, item_id from d join i using (s)
+"""
