@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.llm.leaks import leaks
+from corpusmill.llm.neardup import all_pairs, classes, near_duplicates
 from corpusmill.llm.site_lines import repeated_lines
 from corpusmill.llm.split import split_oversized
 from corpusmill.llm.stuffing import stuffed
@@ -92,3 +93,22 @@ ORACLE["p7_found"] = f"""
 with d as ({_SHINGLES.format("doc_id", "documents")}), i as ({_SHINGLES.format("item_id", "eval_items")})
 select distinct doc_id, item_id from d join i using (s)
 """
+
+
+def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    text = F.array_join(F.transform("blocks", lambda b: F.concat_ws(" ", b["text"], F.array_join(b["cells"], " "))), "\n")
+    pages = _table(spark, sf_dir, "crawl_pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), text.alias("text"))
+    units = _table(spark, sf_dir, "parent_child_units").select(F.lit("unit").alias("kind"), F.col("unit_id").alias("key"), F.col("child_text").alias("text"))
+    return near_duplicates(pages.unionByName(units), {"page": 100, "unit": 40}, 0.75)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_pairs(*_p2(spark, sf_dir)).withColumnRenamed("kind", "record_kind")
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classes(*_p2(spark, sf_dir))
+
+
+QUERIES["p2_found"] = p2_found
+QUERIES["p2_classes"] = p2_classes
