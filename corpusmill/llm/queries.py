@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.llm.leaks import leaks
+from corpusmill.llm.mixing import mix
 from corpusmill.llm.neardup import all_pairs, classes, near_duplicates
 from corpusmill.llm.site_lines import repeated_lines
 from corpusmill.llm.split import split_oversized
@@ -112,3 +113,19 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["p2_found"] = p2_found
 QUERIES["p2_classes"] = p2_classes
+
+
+def _p8(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir)[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p8(spark, sf_dir)[1]
+
+
+QUERIES["p8_mix"] = p8_mix
+QUERIES["p8_shares"] = p8_shares
