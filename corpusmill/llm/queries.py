@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.sites import SITE_PATTERN, site
+from corpusmill.llm.furniture import furniture
 from corpusmill.llm.leaks import leaks
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.neardup import all_pairs, classes, near_duplicates
@@ -129,3 +130,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["p8_mix"] = p8_mix
 QUERIES["p8_shares"] = p8_shares
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return furniture(_table(spark, sf_dir, "crawl_pages"), "page_id", site("origin"), "blocks", "content_html")
+
+
+QUERIES["p6_found"] = p6_found
