@@ -12,6 +12,7 @@ from corpusmill.llm.furniture import furniture
 from corpusmill.llm.leaks import leaks
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.neardup import all_pairs, classes, near_duplicates
+from corpusmill.llm.residue import residue
 from corpusmill.llm.site_lines import repeated_lines
 from corpusmill.llm.split import split_oversized
 from corpusmill.llm.stuffing import stuffed
@@ -137,3 +138,15 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["p6_found"] = p6_found
+
+
+def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue(_table(spark, sf_dir, "crawl_pages"), "page_id", site("origin"), "blocks", "status_code", "failure_reason")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_reasons(spark, sf_dir).select("page_id")
+
+
+QUERIES["p4_found"] = p4_found
+QUERIES["p4_reasons"] = p4_reasons
