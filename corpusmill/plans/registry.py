@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from corpusmill.plans import core
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("n"))
+    return QUERIES["p01_index_run"](spark, sf_dir)
