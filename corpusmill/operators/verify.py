@@ -58,7 +58,7 @@ def host_lookup(addresses: DataFrame, points: DataFrame) -> DataFrame:
     there = points.select("host", F.col("crawl_type").alias("type")).distinct()
     hit = asked.join(there, "host").where(F.col("crawl_type").isNull() | (F.col("crawl_type") == F.col("type")))
     by = hit.groupBy("address", "crawl_type", "n", "host").agg(F.array_sort(F.collect_set("type")).alias("types"))  # the few crawl types of a host
-    first = by.groupBy("address", "crawl_type").agg(F.min_by(F.struct("host", "types"), "n").alias("r")).select("address", F.col("crawl_type").alias("_t"), "r.*")
-    out = addresses.join(first, (addresses["address"] == first["address"]) & addresses["crawl_type"].eqNullSafe(first["_t"]), "left").select(addresses["address"], addresses["crawl_type"], "host", "types")
+    first = by.groupBy("address", "crawl_type").agg(F.min_by(F.struct("host", "types"), "n").alias("r")).select(F.col("address").alias("_a"), F.col("crawl_type").alias("_t"), "r.*")
+    out = addresses.select("address", "crawl_type").join(first, (F.col("address") == F.col("_a")) & F.col("crawl_type").eqNullSafe(F.col("_t")), "left").drop("_a", "_t")
     reason = F.when(F.col("host").isNull(), "not_indexed").when(F.col("crawl_type").isNull() & (F.size("types") > 1), "ambiguous_crawl_type")
     return out.withColumn("reason", reason)
