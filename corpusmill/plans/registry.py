@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import core, search
+from corpusmill.plans import core, reports, search
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.QUERIES, **search.QUERIES}
-ORACLE: dict[str, str] = {**core.ORACLE, **search.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**core.QUERIES, **search.QUERIES, **reports.QUERIES}
+ORACLE: dict[str, str] = {**core.ORACLE, **search.ORACLE, **reports.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

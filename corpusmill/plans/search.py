@@ -156,7 +156,7 @@ add("p03_hybrid_query", _hybrid)
 
 
 def _quotes(s: SparkSession, d: str) -> DataFrame:
-    return _units(s, d).select(F.col("unit_id").alias("quote_id"), "page_id", F.substring("child_text", 1, 60).alias("quote"))
+    return _units(s, d).select(F.col("unit_id").alias("quote_id"), "page_id", F.col("child_text").alias("quote"))
 
 
 add(
@@ -164,7 +164,7 @@ add(
     lambda s, d: verify.verify_quotes(_quotes(s, d), pages(s, d)).select("quote_id", "found", "reason", "digest"),
     f"""with p as (select page_id, {sql.reason()} as why, {sql.plain("blocks")} as plain, blocks from {PAGES}),
     c as (select *, case when why is not null and why <> 'no_content' then 'page_not_citable:' || why when length({sql.strip("plain")}) = 0 then 'page_not_found' end as refusal from p),
-    j as (select u.unit_id as quote_id, c.page_id is null as gone, refusal, plain, blocks, {sql.normalize(sql.clean("substr(u.child_text, 1, 60)"))} as q from {UNITS} u left join c using (page_id)),
+    j as (select u.unit_id as quote_id, c.page_id is null as gone, refusal, plain, blocks, {sql.normalize(sql.clean("u.child_text"))} as q from {UNITS} u left join c using (page_id)),
     r as (select *, case when gone then 'page_not_found' else refusal end as why from j),
     f as (select *, case when why is not null then false when not regexp_matches(q, '[\\pL\\pN]') then false when length(q) >= 12 then contains({sql.normalize("regexp_replace(plain, '\\|([" + sql.BLANK + "]*\\|)+', '|', 'g')")}, q)
       else len(list_filter(flatten(list_transform(list_filter(blocks, lambda b: b.kind = 'row'), lambda b: coalesce(b.cells, []))), lambda x: length(x) > 0 and {sql.normalize("x")} = q)) > 0 end as found from r)
@@ -180,8 +180,8 @@ add(
 )
 add(
     "j10_need_in_document",
-    lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", text.normalize("text").alias("t")).join(F.broadcast(table(s, d, "eval_items").select("item_id", text.normalize(F.substring("text", 1, 60)).alias("p"))), F.col("t").contains(F.col("p"))).select("doc_id", "item_id"),
-    f"select doc_id, item_id from (select doc_id, {sql.normalize('text')} as t from documents where text is not null) d join (select item_id, {sql.normalize('substr(text, 1, 60)')} as p from eval_items) i on contains(t, p)",
+    lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", text.normalize("text").alias("t")).join(F.broadcast(table(s, d, "eval_items").select("item_id", text.normalize("text").alias("p"))), F.col("t").contains(F.col("p"))).select("doc_id", "item_id"),
+    f"select doc_id, item_id from (select doc_id, {sql.normalize('text')} as t from documents where text is not null) d join (select item_id, {sql.normalize('text')} as p from eval_items) i on contains(t, p)",
 )
 
 # --- entities
@@ -260,8 +260,8 @@ add("p28_block_kinds", lambda s, d: ops.block_kinds(pages(s, d)), f"select kind,
 add("p28_field_audit", lambda s, d: ops.field_audit(table(s, d, "crawl_pages").select("title", "status_code", "failure_reason", "blocks")), " union all ".join(f"select '{c}' as field, count(*) filter (where {c} is null) as nulls, count(*) filter (where {n} <= 0) as blank, count(*) filter (where {n} > 0) as present from crawl_pages" for c, n in (("title", "length(trim(title))"), ("status_code", "length(trim(status_code))"), ("failure_reason", "length(trim(failure_reason))"), ("blocks", "len(blocks)"))))
 add(
     "p26_missing_postings",
-    lambda s, d: ops.missing_postings(_doc_points(s, d).withColumn("child_text", F.lit(None).cast("string")).withColumn("parent_text", F.lit(None).cast("string")), _doc_points(s, d).where("point_id % 3 = 0")).select("point_id", F.length("text").alias("chars")),
-    "select doc_id as point_id, length(text) as chars from documents where text is not null and doc_id not in (select doc_id from documents where text is not null and doc_id % 3 = 0)",
+    lambda s, d: ops.missing_postings(_doc_points(s, d).withColumn("child_text", F.lit(None).cast("string")).withColumn("parent_text", F.lit(None).cast("string")), _doc_points(s, d).join(table(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("point_id")), "point_id", "left_semi")).select("point_id", F.length("text").alias("chars")),
+    "select doc_id as point_id, length(text) as chars from documents where text is not null and doc_id not in (select doc_id from documents where text is not null and lang = 'en')",
 )
 add(
     "r17_level_skips",
@@ -271,8 +271,8 @@ add(
 add("r20_listing", lambda s, d: _shown(s, d).select("url", "child_index", "unit_id").withColumn("n", F.row_number().over(Window.partitionBy("url").orderBy("child_index", "unit_id"))), f"select url, child_index, unit_id, row_number() over (partition by url order by child_index, unit_id) as n from {_SHOWN}")
 add(
     "a16_gate_summary",
-    lambda s, d: ops.gate_summary(_sparse(s, d).where("rank <= 8").groupBy("query_id").agg(F.min(F.when(F.col("point_id") % 7 == 0, F.col("rank"))).alias("rank"), F.count("*").alias("returned")).join(table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), "stratum"), "query_id", "right").select("stratum", "rank", F.coalesce("returned", F.lit(0)).alias("returned"), F.lit(False).alias("error"))),
-    f"with {_S}, r as (select i.stratum, min(case when point_id % 7 = 0 then rank end) as rank, count(point_id) as returned from eval_items i left join (select * from s where rank <= 8) s on s.query_id = i.item_id group by i.item_id, i.stratum) select stratum, count(*) as asked, count(rank) as found, count(*) filter (where rank = 1) as first, count(*) filter (where returned > 0) as returned, 0 as errors from r group by stratum",
+    lambda s, d: ops.gate_summary(_sparse(s, d).where("rank <= 8").join(table(s, d, "documents").select(F.col("doc_id").alias("point_id"), "lang"), "point_id").groupBy("query_id").agg(F.min(F.when(F.col("lang") == "en", F.col("rank"))).alias("rank"), F.count("*").alias("returned")).join(table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), "stratum"), "query_id", "right").select("stratum", "rank", F.coalesce("returned", F.lit(0)).alias("returned"), F.lit(False).alias("error"))),
+    f"with {_S}, r as (select i.stratum, min(case when lang = 'en' then rank end) as rank, count(point_id) as returned from eval_items i left join (select s.*, lang from s join documents d on d.doc_id = s.point_id where rank <= 8) s on s.query_id = i.item_id group by i.item_id, i.stratum) select stratum, count(*) as asked, count(rank) as found, count(*) filter (where rank = 1) as first, count(*) filter (where returned > 0) as returned, 0 as errors from r group by stratum",
 )
 
 # --- allow lists, intervals and set operations on the star schema
