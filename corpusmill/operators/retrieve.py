@@ -67,9 +67,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-def postings(points: DataFrame, ident: str = "point_id", text: str = "embed_text") -> DataFrame:
-    """S9. (point_id, term, weight, tf, len): document weights of every term."""
+def postings(points: DataFrame, ident: str = "point_id", text: str = "embed_text", only: DataFrame | None = None) -> DataFrame:
+    """S9. (point_id, term, weight, tf, len): document weights of every term, or of the terms in `only`."""
     t = points.select(F.col(ident).alias("point_id"), terms(F.col(text)).alias("w")).select("point_id", F.size("w").alias("len"), F.explode("w").alias("term"))
+    if only is not None:
+        t = t.join(only, "term", "left_semi")
     t = t.groupBy("point_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     return t.withColumn("weight", F.col("tf") * (K + 1) / (F.col("tf") + K * (1 - B + B * F.col("len") / AVERAGE)))
 
@@ -79,12 +81,12 @@ def sparse_top_k(points: DataFrame, queries: DataFrame, k: int, ident: str = "po
 
     N and document frequencies are those of all points given. A repeated query term counts once.
     """
-    post = postings(points, ident, text) if index is None else index
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    asked = F.broadcast(q.select("term").distinct())  # terms of the stated queries
     total = points.agg(F.count("*").alias("total"))
-    hit = post.join(F.broadcast(q), "term")
-    df = post.join(F.broadcast(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hit = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))  # one row
+    post = postings(points, ident, text, asked) if index is None else index.join(asked, "term", "left_semi")
+    df = post.groupBy("term").agg(F.count("*").alias("df"))
+    hit = post.join(F.broadcast(df), "term").join(F.broadcast(q), "term").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return top_per_query(hit.groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * idf).alias("score")), k)
 

@@ -40,14 +40,14 @@ def docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def plain_docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("source_id"), F.regexp_replace("text", "^#", "").alias("text")).where("length(trim(text)) > 0")
+    return table(s, d, "documents").where("text is not null").select(F.col("doc_id").alias("source_id"), F.regexp_replace("text", "^#", "").alias("text")).where(F.length(text.strip(F.col("text"))) > 0)
 
 
 add("p12_readiness", lambda s, d: reports.readiness(docs(s, d)))
 add("p12_readiness_dimensions", lambda s, d: reports.readiness_dimensions(docs(s, d)))
 add("p13_claims", lambda s, d: reports.claims(docs(s, d)).select("source_id", "claim_id", "specific", "status"))
 add("p13_fact_density", lambda s, d: reports.fact_density(docs(s, d))[1])
-_ONE = f"select doc_id as source_id, {_MARKED} as m, text from documents where text is not null and length(trim(text)) > 0 and not regexp_matches(text, '(?m)^#{{1,6}}\\s+')"
+_ONE = f"select doc_id as source_id, {_MARKED} as m, text from documents where length({sql.strip('text')}) > 0 and not regexp_matches(text, '(?m)^#{{1,6}}\\s+')"
 add(
     "a08_fact_share",
     lambda s, d: reports.fact_density(plain_docs(s, d).where(~F.col("text").rlike(r"(?m)^#{1,6}\s+")))[0].select("source_id", "sentences", "facts", "score"),

@@ -13,6 +13,7 @@ from corpusmill.operators import assets, index, ops, retrieve, verify
 from corpusmill.plans import sql
 from corpusmill.plans.core import UNITS, _units, pages
 from corpusmill.plans.sql import PAGES
+from corpusmill.session import materialize
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,7 +146,7 @@ add(
 
 def _hybrid(s: SparkSession, d: str) -> DataFrame:
     nodes = index.index_run(table(s, d, "crawl_pages"), english_only=True).where("chunk_role = 'child'")
-    points, _ = index.embed_distinct(nodes)
+    points = materialize(index.embed_distinct(nodes)[0], "points")  # the stored index
     q = table(s, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("need").alias("text"), index.embed(F.col("need")).alias("vector"))
     return retrieve.hybrid(points, q, 8, prefer_child=True).select("query_id", "position", "rank", "point_id", "page_id", "score")
 
