@@ -33,10 +33,11 @@ def page_scan(pages: DataFrame, run_id: str) -> DataFrame:
 def decode_documents(raw: DataFrame) -> DataFrame:
     """S6. Fields stored in two casings become one snake-case column each: the first that is not null."""
     names: dict[str, list[str]] = {}
-    for c in raw.columns:
+    places = raw.toDF(*[f"_{n}" for n in range(len(raw.columns))])
+    for n, c in enumerate(raw.columns):
         key = "".join("_" + x.lower() if x.isupper() and i and not c[i - 1].isupper() else x.lower() for i, x in enumerate(c))
-        names.setdefault(key, []).append(c)
-    return raw.select(*[F.coalesce(*[F.col(f"`{c}`") for c in cs]).alias(k) for k, cs in names.items()])
+        names.setdefault(key, []).append(f"_{n}")
+    return places.select(*[F.coalesce(*map(F.col, cs)).alias(k) for k, cs in names.items()])
 
 
 def block_files(spark: SparkSession, folder: str) -> DataFrame:
