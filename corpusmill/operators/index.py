@@ -20,10 +20,14 @@ POLICY_REASONS = ["locale", "failure", "http_error", "sitemap"]
 DIMENSIONS = 384
 
 
-def latest(df: DataFrame, key: str, newest: str) -> DataFrame:
-    """One row a key: the one with the largest `newest`. Rows are compared after a partial maximum in each task."""
-    every = F.struct(*df.columns)
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(every, F.struct(F.coalesce(F.col(newest).cast("double"), F.lit(-1.0)), F.hash(*[c for c in df.columns if c != key and not str(df.schema[c].dataType).startswith("Map")]))).alias("r")).select("r.*")
+def latest(df: DataFrame, key: str, newest: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the one with the largest `newest` (null last), equal ones by the smallest `ties`. Null keys are dropped.
+
+    A ranking window with a limit of one: every task keeps one row a key before the shuffle, and columns that
+    the query does not read are never shuffled.
+    """
+    w = Window.partitionBy(key).orderBy(F.col(newest).desc_nulls_last(), *ties)
+    return df.where(F.col(key).isNotNull()).withColumn("_mill_n", F.row_number().over(w)).where("_mill_n = 1").drop("_mill_n")
 
 
 def classified(pages: DataFrame) -> DataFrame:
