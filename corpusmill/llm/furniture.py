@@ -32,6 +32,8 @@ RECURS, HOSTS = 3, 2
 #: Share of recurring or link lines from which a container is furniture, and lines of it that a host needs to be judged by itself.
 SHARE, LEAST_LINES = 0.5, 6
 BROADCAST_ROWS = 100_000
+#: Pages that are Python objects at once.
+SLICE = 256
 
 
 def _hash(*parts: str) -> int:
@@ -118,7 +120,7 @@ def block_features(pages: DataFrame, page_id: str, site: Column, blocks: str, ma
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             ids, src_, pos, sig, line, link, trail = [], [], [], [], [], [], []
             for page, host, blks, markup in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 labels = host.split(".")
