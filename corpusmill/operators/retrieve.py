@@ -208,3 +208,10 @@ def themes(hits: DataFrame, most: int = 12) -> DataFrame:
     c = pairs.select("query_id", F.lit(2).alias("part"), "n", "m", F.concat_ws(" ↔ ", "entity", "other").alias("label"), F.concat(F.lit("co-occurs:"), F.array_min(F.array_intersect("cats", "cats2"))).alias("relationship"), F.least("s", "s2").alias("score"))
     w = Window.partitionBy("query_id").orderBy("part", "n", "m")
     return a.unionByName(b).unionByName(c).withColumn("position", F.row_number().over(w)).where(F.col("position") <= most).select("query_id", "position", "label", "relationship", "score")
+
+
+def graph(points: DataFrame, queries: DataFrame, top_k: int, prefer_child: bool = False, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """P4, R10. (hits, themes): at least 12 hits are fetched, parents preferred unless children are asked for; themes come
+    from all of them, the hits are cut back to top_k."""
+    hits = hybrid(points, queries, max(top_k, 12), prefer_parent=not prefer_child, prefer_child=prefer_child, index=index)
+    return hits.where(F.col("position") <= top_k), themes(hits)

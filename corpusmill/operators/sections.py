@@ -115,3 +115,25 @@ def embed_batches(texts: list[str], most_items: int, most_tokens: int, spans: Sp
         out[-1].append(t)
         size += n
     return out
+
+
+def batched(df: DataFrame, ident: str, text: str, most_items: int = 64, most_tokens: int = 50_000) -> DataFrame:
+    """O28 over a table: (ident, task, batch) with batches that keep both limits, cut in every task on its own."""
+    kind = df.schema[ident].dataType
+    schema = T.StructType([T.StructField(ident, kind), T.StructField("task", T.IntegerType()), T.StructField("batch", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, batch, items, tokens = TaskContext.get().partitionId(), 0, 0, 0
+        for b in batches:
+            numbers = []
+            for t in b.column(1).to_pylist():
+                n = len(token_spans(t or ""))
+                if items and (items >= most_items or tokens + n > most_tokens):
+                    batch, items, tokens = batch + 1, 0, 0
+                items, tokens = items + 1, tokens + n
+                numbers.append(batch)
+            yield pa.record_batch([b.column(0), pa.array([task] * len(numbers), pa.int32()), pa.array(numbers, pa.int32())], names=schema.names)
+
+    return df.select(ident, text).mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import generators, ids, text
 from corpusmill.functions.sites import SITE_PATTERN, site
-from corpusmill.operators import assets, index, ops, reports, retrieve
+from corpusmill.operators import assets, checks, ops, reports, retrieve, sections
 from corpusmill.plans import sql
 from corpusmill.plans.core import _MARKED, pages
 from corpusmill.plans.sql import PAGES
@@ -128,4 +128,6 @@ add("p29_contract_diff", lambda s, d: ops.contract_diff(s.createDataFrame([(f.na
 add("j06_allowed_versions", lambda s, d: assets.allowed(table(s, d, "lineitem"), table(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey")).orderBy("l_partkey").limit(500), ["l_partkey"]).groupBy("l_partkey").agg(F.count("*").alias("n")), "select l_partkey, count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_size = 7 order by p_partkey limit 500) group by l_partkey")
 add("j09_pages_of_quotes", lambda s, d: table(s, d, "parent_child_units").select("unit_id", "page_id").distinct().join(pages(s, d).select("page_id", "url"), "page_id", "left").select("unit_id", "url"), f"select unit_id, url from (select distinct unit_id, page_id from parent_child_units) u left join {PAGES} p using (page_id)")
 add("j15_new_words", lambda s, d: table(s, d, "documents").where("text is not null and lang = 'de'").select(F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("k")).distinct().join(table(s, d, "documents").where("text is not null and lang = 'en'").select(F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("k")).distinct(), "k", "left_anti"), f"select distinct k from (select unnest({sql.terms('text')}) as k from documents where lang = 'de') where k not in (select unnest({sql.terms('text')}) from documents where text is not null and lang = 'en')")
-add("o28_batches", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", index.embed(F.col("text")).alias("v")).select("doc_id", F.size("v").alias("width")))
+add("o28_batches", lambda s, d: sections.batched(table(s, d, "documents").where("text is not null"), "doc_id", "text"))
+add("o37_repeated_keys", lambda s, d: checks.repeated(table(s, d, "parent_child_units"), "unit_id"), "select unit_id, count(*) as n from parent_child_units group by unit_id having count(*) > 1")
+add("o37_unknown_pages", lambda s, d: checks.unknown(table(s, d, "page_hits").where("page_id is not null"), table(s, d, "crawl_pages"), "page_id").select("page_id").distinct(), "select distinct page_id from page_hits where page_id is not null and page_id not in (select page_id from crawl_pages)")

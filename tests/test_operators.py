@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import assets, index, ops, reports, retrieve, sections, verify
+from corpusmill.operators import assets, checks, index, ops, reports, retrieve, sections, verify
 from corpusmill.sources import tables
 from corpusmill.streaming import streams
 
@@ -228,3 +228,32 @@ def test_empty_tables_everywhere(spark):
     d = spark.createDataFrame([], "source_id string, text string, partial boolean, role string")
     for df in (reports.readiness(d), reports.claims(d), reports.entities(d), reports.relationships(d), reports.content_gaps(d), reports.schema_nodes(d)):
         assert df.count() == 0
+
+
+def test_checks(spark):
+    spans = spark.createDataFrame([(1, None, None), (2, 0, 3), (3, 5, None), (4, 3, 3), (5, -1, 2)], "id int, start_char int, end_char int")
+    assert {r.id for r in checks.broken_spans(spans).collect()} == {3, 4, 5}
+    q = spark.createDataFrame([("observed", None, None), ("observed", "s", None), ("generatedHypothesis", None, None)], "origin string, source_id string, source_reference string")
+    assert checks.without_source(q).count() == 1
+    d = spark.createDataFrame([("x", "0" * 64), ("x", None)], "body string, digest string")
+    with pytest.raises(ValueError):
+        checks.require_none(checks.wrong_digests(d, "body", "digest"), "a digest is wrong")
+    e = spark.createDataFrame([("o", "approved", None), ("o", "revoked", None)], "owner_id string, lifecycle string, expires_at timestamp")
+    assert checks.executable_entries(e).count() == 1
+    with pytest.raises(ValueError):
+        checks.executable_entries(e.unionByName(e.withColumn("owner_id", F.lit("p"))))
+
+
+def test_batches_keep_both_limits(spark):
+    df = spark.createDataFrame([(k, "w " * (k % 7 + 1)) for k in range(100)], "i int, t string").coalesce(2)
+    got = sections.batched(df, "i", "t", 5, 20).groupBy("task", "batch").agg(F.count("*").alias("n"), F.sum(F.col("i") % 7 + 1).alias("tokens")).collect()
+    assert all(r.n <= 5 and r.tokens <= 20 for r in got) and sum(r.n for r in got) == 100
+
+
+def test_graph_query(spark):
+    rows = [(f"p{k}", f"pg{k % 4}", "Alpha" if k % 2 else "Beta", "docs", f"text about ledgers number {k}", [1.0, float(k)]) for k in range(20)]
+    p = spark.createDataFrame(rows, "point_id string, page_id string, entity_name string, category string, embed_text string, embedding array<float>")
+    p = p.selectExpr("*", "embed_text as child_text", "embed_text as parent_text", "'s' as section_title", "'https://a.example' as url", "'https://a.example' as final_url", "'a.example' as host")
+    q = spark.createDataFrame([(1, "ledgers", [1.0, 3.0])], "query_id int, text string, vector array<float>")
+    hits, found = retrieve.graph(p, q, 3)
+    assert hits.count() == 3 and {r.relationship for r in found.collect()} == {"entity", "category-theme", "co-occurs:docs"}
