@@ -29,8 +29,8 @@ TRAIL = re.compile(r"^\W*(?:home|start|main page|homepage)\s*(?:[>»›→/\\|:]
 
 #: Pages of a host on which a line recurs, and hosts whose furniture a line must be to count as such everywhere.
 RECURS, HOSTS = 3, 2
-#: Share of recurring or link lines from which a container is furniture, and lines of it that a host needs to be judged by itself.
-SHARE, LEAST_LINES = 0.5, 6
+#: Share of recurring or link lines from which a container is furniture; lines it needs at all, and lines by which a host is judged by itself.
+SHARE, LEAST_LINES, OWN_LINES = 0.5, 6, 30
 BROADCAST_ROWS = 100_000
 #: Pages that are Python objects at once.
 SLICE = 256
@@ -158,10 +158,10 @@ def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup:
     counted per host; a container, by its tags and attributes, is furniture of a host when at least half of
     the lines in it recur on RECURS pages of the host, are links altogether, or are a trail from the home page. Such
     subtrees are deleted with all blocks in them that have text, recurring or not (as the items of a related-links box).
-    A host with fewer than LEAST_LINES lines in a container goes by that container's share over all hosts.
+    A host with fewer than OWN_LINES lines in a container goes by that container's share over all hosts.
     Blocks whose page has no markup, or whose markup does not match, are furniture when all their lines stand at least as often as not in
     deleted containers of the host, or of at least HOSTS hosts, when they are a trail, or when they are links altogether
-    next to furniture. Blocks that hold furniture lines together with body text stay, as do code, cells, quotes and terms
+    next to furniture or at least three in a row. Blocks that hold furniture lines together with body text stay, as do code, cells, quotes and terms
     outside deleted containers. All counts cover all pages, and are summed before they are shuffled.
 
     Pages without id, site or blocks give no rows; pages delivered twice count once; null kinds, texts and anchors are
@@ -174,8 +174,8 @@ def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup:
     own = marked.where("sig <> 0").groupBy("src", "sig").agg(F.count("*").alias("n"), F.sum(sign.cast("int")).alias("y"))
     own = materialize(own, "containers")
     every = own.groupBy("sig").agg(F.sum("n").alias("n_all"), F.sum("y").alias("y_all"))
-    share = F.when(F.col("n") >= LEAST_LINES, F.col("y") / F.col("n")).otherwise(F.col("y_all") / F.col("n_all"))
-    judged = _held(own.join(every, "sig").select("src", "sig", (share >= SHARE).alias("out"), ((F.col("n") >= LEAST_LINES) | (F.col("n_all") >= LEAST_LINES)).alias("sure")), "judged")
+    share = F.when(F.col("n") >= OWN_LINES, F.col("y") / F.col("n")).otherwise(F.col("y_all") / F.col("n_all"))
+    judged = _held(own.join(every, "sig").select("src", "sig", (share >= SHARE).alias("out"), ((F.col("n_all") >= LEAST_LINES) | ((F.col("n_all") >= RECURS) & (F.col("y_all") == F.col("n_all")))).alias("sure")), "judged")
     told = rows.join(judged, ["src", "sig"], "left")
     by_container = told.where("sig <> 0 and sure and out").select("page_id", "pos")
 
@@ -189,6 +189,11 @@ def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup:
     each = each.withColumn("sure", F.col("all") | F.col("trail"))
     # a page's own blocks: links next to one another, of which one is furniture or one touches furniture
     page = each.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "sure", "link"))).alias("b"))
+    # and runs of links, which no body consists of
+    at = F.transform(F.filter("b", lambda x: x["link"]), lambda x: x["pos"])
+    has = lambda x, *steps: F.forall(F.array(*map(F.lit, steps)), lambda k: F.array_contains(at, x["pos"] + k))
+    in_run = lambda x: x["link"] & (has(x, 1, 2) | has(x, -1, 1) | has(x, -2, -1))
+    page = page.withColumn("b", F.transform("b", lambda x: F.struct(x["pos"].alias("pos"), (x["sure"] | in_run(x)).alias("sure"), x["link"].alias("link"))))
     walk = lambda a: F.aggregate(a, F.struct(F.array().cast("array<int>").alias("found"), F.lit(-2).alias("last")), lambda s, x: F.when(x["sure"] | (x["link"] & (F.abs(x["pos"] - s["last"]) == 1)), F.struct(F.array_append(s["found"], x["pos"]).alias("found"), x["pos"].alias("last"))).otherwise(s))["found"]
     by_text = page.select("page_id", F.explode(F.array_union(walk(F.col("b")), walk(F.reverse("b")))).alias("pos"))
     return by_container.unionByName(by_text).distinct().select(F.col("page_id").alias(page_id), F.col("pos").alias("block_pos"))
