@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import classify, ids, text, urls
 from corpusmill.functions.language import language
 from corpusmill.operators.sections import page_sections, units
+from corpusmill.session import materialize
 
 #: Runs with more pages fail.
 MOST_PAGES = 50_000
@@ -75,11 +76,11 @@ def page_nodes(pages: DataFrame, english_only: bool = True) -> DataFrame:
 
     Stubs are dropped; a parent stands before its first surviving child when its text is not the child's.
     """
-    ok = classified(pages).where("reason is null").withColumn("plain", text.plain_text("blocks")).where(F.length(text.strip(F.col("plain"))) > 0)
-    if english_only:
+    ok = classified(pages).where("reason is null").withColumn("plain", text.plain_text("blocks"))
+    if english_only:  # blank and very short texts have no language
         ok = ok.withColumn("language", language(F.col("plain"))).where("language = 'en'")
     else:
-        ok = ok.withColumn("language", F.lit(None).cast("string"))
+        ok = ok.where(F.length(text.strip(F.col("plain"))) > 0).withColumn("language", F.lit(None).cast("string"))
     page = ok.withColumn("host", urls.host_of("origin", "url")).withColumn("page_title", text.page_title("title", "blocks")).withColumn("category", classify.category("url", "plain"))
     page = page.withColumn("quality", classify.quality("plain", "page_title", F.size("blocks") > 0)).withColumn("evergreen", classify.is_evergreen("url", "plain")).withColumn("tags", urls.tags("url", "page_title")).withColumn("source_digest", ids.source_digest("content_html"))
     keep = ("run_id", "host", "url", "final_url", "page_title", "category", "quality", "evergreen", "tags", "source_digest", "language", "crawled_at")
@@ -97,8 +98,11 @@ def page_nodes(pages: DataFrame, english_only: bool = True) -> DataFrame:
 
 
 def index_run(pages: DataFrame, english_only: bool = True) -> DataFrame:
-    """P1 without the vectors: nodes of all runs in `pages`, repeated texts on the run's first page only."""
-    return first_page_wins(page_nodes(latest(pages, "page_id", "arrived_at"), english_only))
+    """P1 without the vectors: nodes of all runs in `pages`, repeated texts on the run's first page only.
+
+    The nodes are written once, as the owners of texts are found from them and joined back to them.
+    """
+    return first_page_wins(materialize(page_nodes(latest(pages, "page_id", "arrived_at"), english_only), "nodes"))
 
 
 def hash_vector(t: str, dimensions: int = DIMENSIONS) -> np.ndarray:

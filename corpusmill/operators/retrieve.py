@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.functions import urls
 
@@ -131,38 +132,56 @@ def select_diverse(pool: DataFrame, top_k: int, collapse: bool) -> DataFrame:
     pool has at most twice the fetch size of rows, so one query's rows are a small group by construction.
     """
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pages: dict[str, list[int]] = {}
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        for i, (key, point) in enumerate(zip(pdf["page_key"], pdf["point_id"], strict=True)):
-            pages.setdefault(key or f"point:{point}", []).append(i)
+    kind = {f.name: f.dataType for f in pool.schema}
+    schema = T.StructType([T.StructField("query_id", kind["query_id"]), T.StructField("point_id", kind["point_id"]), T.StructField("rank", T.IntegerType()), T.StructField("position", T.IntegerType())])
+
+    def pick(rows: list[tuple]) -> list[tuple]:
+        pages: dict[str, list[tuple]] = {}
+        for r in rows:
+            pages.setdefault(r[3] or f"point:{r[1]}", []).append(r)
         texts, parents, chosen = set(), set(), []
-        open_pages = list(pages.values())
-        while open_pages and len(chosen) < top_k:
+        turns = [iter(q) for q in pages.values()]
+        while turns and len(chosen) < top_k:
             still = []
-            for queue in open_pages:
-                while queue and len(chosen) < top_k:
-                    i = queue.pop(0)
-                    t, line = pdf.at[i, "text"], pdf.at[i, "lineage"]
-                    if t:
-                        if t in texts:
-                            continue
-                        texts.add(t)
-                    if collapse:
-                        if line in parents:
-                            continue
-                        parents.add(line)
-                    chosen.append(i)
+            for queue in turns:
+                if len(chosen) >= top_k:
                     break
-                if queue:
+                for r in queue:
+                    if r[4] and r[4] in texts:
+                        continue
+                    texts.add(r[4])
+                    if collapse and r[5] in parents:
+                        continue
+                    parents.add(r[5])
+                    chosen.append((*r[:3], len(chosen) + 1))
                     still.append(queue)
-            open_pages = still
-        out = pdf.loc[chosen, ["query_id", "point_id", "rank"]]
-        return out.assign(position=range(1, len(out) + 1))
-
-    kind = {f.name: f.dataType.simpleString() for f in pool.schema}
-    schema = f"query_id {kind['query_id']}, point_id {kind['point_id']}, rank int, position int"
-    return pool.select("query_id", "point_id", F.col("rank").cast("int"), "page_key", "text", "lineage").groupBy("query_id").applyInPandas(pick, schema)
+                    break
+            turns = still
+        return chosen
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        form: pa.Schema | None = None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            kinds = [form.field("query_id").type, form.field("point_id").type, pa.int32(), pa.int32()]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+
+        for b in batches:
+            form = b.schema
+            found: list[tuple] = []
+            for r in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and held[0][0] != r[0]:
+                    found += pick(held)
+                    held = []
+                held.append(r)
+            yield out(found)
+        if held:
+            yield out(pick(held))
+
+    rows = pool.select("query_id", "point_id", F.col("rank").cast("int").alias("rank"), "page_key", "text", "lineage")
+    return rows.repartition("query_id").sortWithinPartitions("query_id", "rank").mapInArrow(run, schema)
 
 
 def positional(pool: DataFrame) -> DataFrame:
