@@ -136,11 +136,26 @@ add(
 
 # --- addresses
 
+
+def _passage_kind() -> str:
+    blob = f"(lower({sql.path('url')}) || ' ' || lower(coalesce(section_title, '')) || ' ' || lower(substr(coalesce(child_text, ''), 1, 800)))"
+    cat = sql.category("url", "child_text")
+    cases = " ".join(f"when {sql.any_of(blob, ns)}{f' or c = {sql.q(d)}' if d else ''} then {sql.q(k)}" for k, d, ns in classify.PASSAGE_KINDS)
+    return f"with x as (select u.*, url, {cat} as c from {UNITS} u join (select page_id, url from {PAGES}) p using (page_id)) select unit_id, case {cases} else 'feature' end as kind from x"
+
+
+
 add("f22_host", per_page(lambda: urls.host_of("origin", "url").alias("host")), f"select page_id, {sql.host('origin', 'url')} as host from {PAGES}")
 add("f23_bare_host", per_page(lambda: urls.bare_host(urls.host_of("origin", "url")).alias("host")), f"select page_id, regexp_replace({sql.host('origin', 'url')}, '^www\\.', '') as host from {PAGES}")
 add("f24_host_candidates", per_page(lambda: F.array_join(urls.host_candidates("origin"), " ").alias("hosts")), f"with h as (select page_id, {sql.host('origin', 'null')} as h from {PAGES}), b as (select *, regexp_replace(h, '^www\\.', '') as b from h) select page_id, case when not contains(h, '.') then '' when h = b then h || ' www.' || b else h || ' ' || b || case when h <> 'www.' || b then ' www.' || b else '' end end as hosts from b")
 add("f25_page_key", per_page(lambda: urls.page_key("page_id", "final_url", "url").alias("key")), f"select page_id, 'id:' || page_id as key from {PAGES}")
-add("f26_tags", per_page(lambda: F.array_join(urls.tags("url", "title"), " ").alias("tags")))
+add(
+    "f26_tags",
+    per_page(lambda: F.array_join(urls.tags("url", "title"), " ").alias("tags")),
+    f"""with p as (select page_id, list_filter(list_transform(list_filter(string_split(lower({sql.path('url')}), '/'), lambda p: p <> '' and p not in ('index.html', 'index.htm'))[1:8], lambda p: regexp_replace(regexp_replace(p, '[^a-z0-9\\-]+', '-', 'g'), '^-+|-+$', '', 'g')), lambda p: p <> '')
+      || list_filter(({sql.terms("coalesce(title, '')")})[1:6], lambda w: length(w) > 2) as l from {PAGES})
+    select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:12], ' ') as tags from p""",
+)
 add("f27_category", per_page(lambda: classify.category("url", text.plain_text("blocks")).alias("category")), f"select page_id, {sql.category('url', sql.plain('blocks'))} as category from {PAGES}")
 add("f28_intent", per_page(lambda: classify.content_intent(classify.category("url", text.plain_text("blocks"))).alias("intent")), f"with c as (select page_id, {sql.category('url', sql.plain('blocks'))} as c from {PAGES}) select page_id, case c " + " ".join(f"when {sql.q(k)} then {sql.q(v)}" for k, v in classify.INTENTS.items()) + " else 'general' end as intent from c")
 add("f31_source_rights", per_page(lambda: classify.source_rights(site("origin"), F.lit(None).cast("string"), ["www.Harrowledger.example"]).alias("rights")), f"select page_id, case when regexp_replace(lower({sql.strip(f'regexp_extract(lower(origin), {sql.q(SITE_PATTERN)}, 1)')}), '^www\\.', '') = 'harrowledger.example' then 'consented' else 'unknown' end as rights from {PAGES}")
@@ -150,7 +165,7 @@ add(
     f"with t as (select page_id, title, blocks, length({sql.strip(sql.plain('blocks'))}) as n from {PAGES}) select page_id, least(greatest(35 + case when length(title) > 0 then 15 else 0 end + case when len(blocks) > 0 then 15 else 0 end + case when n >= 500 then 15 else 0 end + case when n >= 2000 then 10 else 0 end + case when n >= 5000 then 10 else 0 end - case when n < 200 then 20 else 0 end, 0), 100) / 100 as quality from t",
 )
 add("f33_evergreen", per_page(lambda: classify.is_evergreen("url", text.plain_text("blocks")).alias("evergreen")), f"with t as (select page_id, url, {sql.plain('blocks')} as t from {PAGES}) select page_id, not {sql.any_of(chr(40) + 'lower(coalesce(url, chr(32)) || chr(32) || substr(t, 1, 800))' + chr(41), [*classify.YEARS, '/news/', 'press release'])} and {sql.category('url', 't')} in ('docs','product','pricing','about','page') as evergreen from t")
-add("f29_passage_kind", lambda s, d: _units(s, d).join(pages(s, d).select("page_id", "url"), "page_id").select("unit_id", classify.passage_kind("url", "section_title", "child_text", classify.category("url", "child_text")).alias("kind")))
+add("f29_passage_kind", lambda s, d: _units(s, d).join(pages(s, d).select("page_id", "url"), "page_id").select("unit_id", classify.passage_kind("url", "section_title", "child_text", classify.category("url", "child_text")).alias("kind")), _passage_kind())
 add("f30_feature_tag", lambda s, d: _units(s, d).select("unit_id", classify.feature_tag("section_title", F.array().cast("array<string>")).alias("tag")), f"select unit_id, nullif(substr({sql.strip('regexp_replace(' + sql.strip('section_title') + ', ' + sql.q('[^a-zA-Z0-9 \\-_]+') + ', chr(0)[1:0], chr(103))')}, 1, 80), '') as tag from {UNITS}".replace("chr(0)[1:0]", "''"))
 
 # --- identifiers

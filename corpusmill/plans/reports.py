@@ -80,6 +80,7 @@ add("f06_visible_lines", lambda s, d: pages(s, d).where("content_html is not nul
 add(
     "f16_howto_steps",
     lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(r"(?m)^\s*\d+[.)]\s+(.+?)\s*$"), F.lit(1))).alias("steps")),
+    "select doc_id, cast(len(regexp_extract_all(text, '(?m)^\\s*\\d+[.)]\\s+(.+?)\\s*$')) as int) as steps from documents where text is not null",
 )
 
 # --- streams and their batch forms
