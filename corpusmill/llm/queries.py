@@ -129,7 +129,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p8(spark, sf_dir)[1]
 
 
+def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares when the natural ones are tempered as far towards equal ones as the repetition limits allow."""
+    return mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", _table(spark, sf_dir, "mix_targets"), temperature=True)[1]
+
+
 QUERIES["p8_mix"] = p8_mix
+QUERIES["p8_tempered"] = p8_tempered
 QUERIES["p8_shares"] = p8_shares
 
 
