@@ -27,6 +27,19 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
     )
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers on machines that have this folder import the package, wherever the driver was started.
+
+    Elsewhere ship it with --py-files; the entry is harmless there.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([*have, root])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     sc = spark.sparkContext
