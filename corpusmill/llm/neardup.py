@@ -29,8 +29,8 @@ FREQUENT_SHARE, RARE_SHARE = 0.2, 0.002
 FEW_SEGMENTS, PER_SEGMENT, LEAST_TOKENS = 1.5, 8, 6
 #: 64-bit words of the sketch whose Hamming distance is a lower bound of the difference.
 SKETCH_WORDS = 16
-#: Distinct contents in a bucket from which two segments have to agree.
-HOT_BUCKET = 64
+#: Distinct contents in a bucket from which its pairs are made in blocks of about BLOCK contents, behind the bounds.
+HOT_BUCKET, BLOCK = 64, 4096
 #: Rows of one or two longs that may be broadcast: at most 16 MB.
 BROADCAST_ROWS = 1_000_000
 #: Edits may fall on rare words more often than on others.
@@ -193,6 +193,40 @@ def _records(kinds: dict[str, int], known_words: dict[str, dict[int, int]], bits
     return run
 
 
+def _within_bounds(least: float):
+    def run(key: tuple, cell: pa.Table) -> pa.Table:
+        content, n = cell["content"].to_numpy(), cell["n"].to_numpy().astype(np.int64)
+        block = cell["block"].to_numpy()
+        sketch = cell["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(content), SKETCH_WORDS)
+        same = key[1].as_py() == key[2].as_py()
+        left = np.flatnonzero(block == key[1].as_py())
+        right = left if same else np.flatnonzero(block == key[2].as_py())
+        right = right[np.argsort(n[right], kind="stable")]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for x in left:
+            near = right[np.searchsorted(n[right], np.ceil(least * n[x] - 1e-9)) : np.searchsorted(n[right], n[x] / least + 1e-9, "right")]
+            apart = np.bitwise_count(sketch[near] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            near = near[apart <= n[near] + n[x] - 2 * np.ceil(least * np.maximum(n[near], n[x]) - 1e-9)]
+            other = content[near[content[near] > content[x]] if same else near]
+            found.append((np.minimum(content[x], other), np.maximum(content[x], other)))
+        return pa.table({"a": np.concatenate([f[0] for f in found] or [content[:0]]), "b": np.concatenate([f[1] for f in found] or [content[:0]])})
+
+    return run
+
+
+def _dense_pairs(hot: DataFrame, made: DataFrame, least: float) -> DataFrame:
+    """(a, b) of the contents of large buckets that the size and Hamming bounds leave. hot: (seg, content, d).
+
+    A bucket is dealt into blocks, and each two blocks meet in one group, so that no task holds a whole bucket.
+    """
+    blocks = F.ceil(F.col("d") / BLOCK).cast("int")
+    dealt = hot.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("content", F.lit(1)), F.col("blocks")).cast("int"))
+    held = dealt.join(made.select("content", "n", "sketch").dropDuplicates(["content"]), "content")
+    met = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("seg", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "content", "n", "sketch")
+    return met.groupBy("seg", "i", "j").applyInArrow(_within_bounds(least), "a long, b long")
+
+
 def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Records that share at least `least` of the longer one's words, counted as often as they occur in both.
 
@@ -210,8 +244,8 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
     all of them. Pairs that agree on a
     segment go through the size bound, the parity sketch's Hamming distance (a lower bound of the symmetric difference)
     and an exact count. A pair is found with a probability that grows with its similarity: for some 10**5 records
-    about 0.97 right at a limit of 0.75, above 0.998 from 0.8 on. A bucket of more than HOT_BUCKET contents is split
-    by a second segment that has to agree as well.
+    about 0.97 right at a limit of 0.75, above 0.998 from 0.8 on. A bucket of more than HOT_BUCKET contents is compared
+    block by block, where only pairs within the two bounds become rows; no pair is lost by that.
 
     The words in at least RARE_SHARE of the records are collected with their counts: they are at most 500 times as
     many as a record has different words on average.
@@ -247,14 +281,16 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
     rows = materialize(rows, "buckets")
     warm = rows.where(F.col("m") <= HOT_BUCKET).select("seg", "content")
     hot = rows.where(F.col("m") > HOT_BUCKET)
+    dense = None
     if not hot.isEmpty():
-        sized = hot.groupBy("seg").agg(F.count("*").alias("d"))
+        # buckets of the same contents give the same pairs: one of them is compared
+        sized = hot.groupBy("seg").agg(F.count("*").alias("d"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
         hot = hot.join(sized, "seg")
         warm = warm.unionByName(hot.where(F.col("d") <= HOT_BUCKET).select("seg", "content"))
-        hot = hot.where(F.col("d") > HOT_BUCKET).select(F.col("seg").alias("first"), "content")
-        second = hot.join(rows.select("content", F.col("seg").alias("other")), "content").where("first <> other").select(F.xxhash64("first", "other").alias("seg"), "content")
-        warm = warm.unionByName(second)
-    pairs = warm.select("seg", F.col("content").alias("a")).join(warm.select("seg", F.col("content").alias("b")), "seg").where("a < b").select("a", "b").union(couples).distinct()
+        one = sized.where(F.col("d") > HOT_BUCKET).groupBy("d", "x", "y").agg(F.min("seg").alias("seg"))
+        dense = _dense_pairs(hot.join(one.select("seg"), "seg", "left_semi"), made, least)
+    pairs = warm.select("seg", F.col("content").alias("a")).join(warm.select("seg", F.col("content").alias("b")), "seg").where("a < b").select("a", "b").union(couples)
+    pairs = (pairs if dense is None else pairs.union(dense)).distinct()
     pairs = materialize(pairs, "pairs")
 
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()

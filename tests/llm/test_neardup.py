@@ -75,3 +75,22 @@ def test_few_rare_words(spark):
 def test_empty(spark):
     members, links = near_duplicates(frame(spark, []), {"page": 100})
     assert members.count() == links.count() == all_pairs(members, links).count() == 0
+
+
+def test_hot_buckets_lose_no_pair(spark, monkeypatch):
+    """Groups of edited copies with pairs that share one segment only: blocks find what the plain join of the bucket finds."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(8):
+        base = [rng.choice(WORDS) for _ in range(60)]
+        for m in range(40):
+            out = list(base)
+            for k in rng.sample(range(60), 8):
+                out[k] = rng.choice(WORDS)
+            rows.append(("unit", f"{g}-{m:02}", " ".join(out)))
+    links = []
+    for hot, block in ((10**6, 4096), (3, 16)):
+        monkeypatch.setattr(neardup, "HOT_BUCKET", hot)
+        monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+        links.append({tuple(r) for r in near_duplicates(frame(spark, rows), {"unit": 40}, 0.75)[1].select("a", "b").collect()})
+    assert len(links[0]) > 500 and links[1] == links[0]
