@@ -16,17 +16,17 @@ from corpusmill.session import materialize, small_enough
 
 WORD = re.compile(r"[^\W_]+")
 
-#: Segments of sketches a record is joined by.
-SLOTS = 72
+#: Segments a record is joined by: as many as find a pair right at the limit with the probability FOUND, and SLOTS at least.
+SLOTS, FOUND = 72, 0.99
 #: A segment joins when its tokens carry as many bits as a record number has, and this many more; segments are made
 #: so large that they have SPARE times as many on average. A token of a word in the share p of the records has -log2 p bits.
-MORE_BITS, SPARE = 3.0, 1.35
+MORE_BITS, SPARE = 3.0, 0.95
 #: Words in at least FREQUENT_SHARE of the records are left out of the segments (not out of the verification);
 #: words in less than RARE_SHARE count as if they were in that share.
 FREQUENT_SHARE, RARE_SHARE = 0.2, 0.002
 #: Records whose tokens have fewer bits than this many segments need are joined by all tokens, frequent ones included;
 #: then segments have PER_SEGMENT tokens on average, and LEAST_TOKENS at least.
-FEW_SEGMENTS, PER_SEGMENT, LEAST_TOKENS = 1.5, 8, 6
+FEW_SEGMENTS, PER_SEGMENT, LEAST_TOKENS = 1.5, 6, 6
 #: 64-bit words of the sketch whose Hamming distance is a lower bound of the difference.
 SKETCH_WORDS = 16
 #: Distinct contents in a bucket from which its pairs are made in blocks of about BLOCK contents, behind the bounds.
@@ -36,6 +36,7 @@ BROADCAST_ROWS = 1_000_000
 #: Edits may fall on rare words more often than on others.
 SLACK = 0.85
 WORD_BITS = 43
+SLOT_BITS = 20
 #: A word id carries the word's bits in quarters in its lowest places.
 QUARTERS = 6
 BATCH_WORDS, BATCH_RECORDS = 500_000, 1 << (64 - WORD_BITS - QUARTERS - 1)
@@ -82,6 +83,21 @@ def _frequencies(kinds: dict[str, int]):
     return run
 
 
+def slot_counts(tokens: np.ndarray, size: np.ndarray, pieces: np.ndarray, least: float, nearest: float) -> np.ndarray:
+    """Segments for which records whose tokens (of the sum of weights `size`) are dealt to `pieces` segments meet a partner
+    right at the limit with probability FOUND: one of them has to miss the difference and to keep the weight `least`."""
+    tokens, pieces = np.maximum(tokens, 1).astype(np.float64), pieces.astype(np.float64)
+    differ, common = 2 * (1 - nearest) * tokens, nearest * tokens
+    need = np.ceil(least * tokens / size)
+    chance = (1 - 1 / pieces) ** common
+    enough = np.ones(len(tokens))
+    for k in range(int(need.max(initial=0))):
+        enough -= np.where(k < need, chance, 0)
+        chance = chance * np.maximum(common - k, 0) / (k + 1) / (pieces - 1)
+    one = np.clip((1 - 1 / pieces) ** differ * enough, 1e-4, 0.999)
+    return np.maximum(np.ceil(np.log(1 - FOUND) / np.log1p(-one)), SLOTS).astype(np.int64)
+
+
 def sketch_batch(words: list[list[int]], bits: float, nearest: float) -> dict[str, tuple]:
     """Content hash, tokens, sketch and segment words of records given as word ids with their quarter bits.
 
@@ -110,32 +126,41 @@ def sketch_batch(words: list[list[int]], bits: float, nearest: float) -> dict[st
     ones = np.ones(len(rec), dtype=np.int64)
     worth = np.maximum(np.bincount(rec, weights=quarters * rare, minlength=len(words)), 1).astype(np.int64)
     few = worth < FEW_SEGMENTS * 4 * bits
+    # so that a record with few bits meets a partner that has a little more
+    near_few = worth * SLACK * nearest < FEW_SEGMENTS * 4 * bits
+    rares = np.bincount(rec, weights=rare, minlength=len(words)).astype(np.int64)
     keys: list[tuple[np.ndarray, np.ndarray]] = []
-    families = ((rare, np.ones(len(words), dtype=bool), worth, quarters, SPARE * 4 * bits, 4 * bits), (ones > 0, few, n, ones, PER_SEGMENT, LEAST_TOKENS))
-    for number, (mask, members, size, weight, mean, least) in enumerate(families):
+    families = ((rare, np.ones(len(words), dtype=bool), rares, worth, quarters, SPARE * 4 * bits, 4 * bits), (ones > 0, near_few, n, n, ones, PER_SEGMENT, LEAST_TOKENS))
+    for number, (mask, members, count, size, weight, mean, least) in enumerate(families):
         band = np.floor(np.log2(size)).astype(np.int64)
         for step in (0, 1):
             # a partner of a larger band is hardly ever more than 1 / (SLACK * nearest) times as large
             joins = members if step == 0 else members & (size / (SLACK * nearest) >= 2.0 ** (band + 1))
             b = band + step
             pieces = np.maximum(np.rint(1.4 * 2.0**b / mean), 2).astype(np.int64)
+            slots = slot_counts(count, size, pieces, least, nearest)
+            if number == 0:
+                slots[few] = SLOTS  # these are found by all their tokens
             use = mask & joins[rec]
             if not use.any():
                 continue
             r0, t0, w0 = rec[use], token[use], weight[use]
-            for rep in range(int(-(-SLOTS // pieces[joins].min()))):
+            rep = 0
+            while len(r0):
                 slot = rep * pieces[r0] + (_mix(t0, 10 + rep) % pieces[r0].astype(np.uint64)).astype(np.int64)
-                ok = slot < SLOTS
-                if not ok.any():
-                    continue
-                cell, t, w = r0[ok] * SLOTS + slot[ok], t0[ok], w0[ok]
-                order = np.argsort(cell, kind="stable")
-                cell, t, w = cell[order], _mix(t[order], 5), w[order]
-                begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                word = np.bitwise_xor.reduceat(t, begin)
-                keep = np.add.reduceat(w, begin) >= least
-                r, slots, word = cell[begin[keep]] // SLOTS, cell[begin[keep]] % SLOTS, word[keep]
-                keys.append((r, _mix(word ^ _mix(((b[r] * 4 + number) * SLOTS + slots).astype(np.uint64), 6), 7)))
+                ok = slot < slots[r0]
+                cell, t, w = r0[ok] << SLOT_BITS | slot[ok], t0[ok], w0[ok]
+                rep += 1
+                if len(cell):
+                    order = np.argsort(cell, kind="stable")
+                    cell, t, w = cell[order], _mix(t[order], 5), w[order]
+                    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+                    word = np.bitwise_xor.reduceat(t, begin)
+                    keep = np.add.reduceat(w, begin) >= least
+                    r, place, word = cell[begin[keep]] >> SLOT_BITS, cell[begin[keep]] & ((1 << SLOT_BITS) - 1), word[keep]
+                    keys.append((r, _mix(word ^ _mix((b[r] * 4 + number << SLOT_BITS | place).astype(np.uint64), 6), 7)))
+                more = rep * pieces[r0] < slots[r0]
+                r0, t0, w0 = r0[more], t0[more], w0[more]
     owner = np.concatenate([k[0] for k in keys]) if keys else np.zeros(0, dtype=np.int64)
     value = np.concatenate([k[1] for k in keys]) if keys else np.zeros(0, dtype=np.uint64)
     order = np.argsort(owner, kind="stable")
@@ -236,15 +261,15 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
     are thus never compared with one another, however many there are.
 
     Every record is a set of tokens (word, number of occurrence). Tokens are hashed to segments by as many independent
-    hashings as make SLOTS segments; each segment's tokens are XORed to one word, which is equal in two records whose
+    hashings as make its segments; each segment's tokens are XORed to one word, which is equal in two records whose
     difference misses that segment. Segments hold as many tokens as the number of records calls for: those that
     carry too little information to tell records apart do not join. Segment counts depend on the size band (powers of two
     of the information in a record); a record also joins in the next band when a partner may lie there. Words in a fifth of
     all records stay out of the segments, as they occur everywhere; a record with hardly any other words is joined by
     all of them. Pairs that agree on a
     segment go through the size bound, the parity sketch's Hamming distance (a lower bound of the symmetric difference)
-    and an exact count. A pair is found with a probability that grows with its similarity: for some 10**5 records
-    about 0.97 right at a limit of 0.75, above 0.998 from 0.8 on. A bucket of more than HOT_BUCKET contents is compared
+    and an exact count. A pair is found with a probability that grows with its similarity, from FOUND right at the limit
+    on: a record joins by as many segments as that takes (slot_counts), however many records there are. A bucket of more than HOT_BUCKET contents is compared
     block by block, where only pairs within the two bounds become rows; no pair is lost by that.
 
     The words in at least RARE_SHARE of the records are collected with their counts: they are at most 500 times as

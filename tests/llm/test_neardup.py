@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from corpusmill.llm import neardup
@@ -94,3 +95,21 @@ def test_hot_buckets_lose_no_pair(spark, monkeypatch):
         monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
         links.append({tuple(r) for r in near_duplicates(frame(spark, rows), {"unit": 40}, 0.75)[1].select("a", "b").collect()})
     assert len(links[0]) > 500 and links[1] == links[0]
+
+
+@pytest.mark.parametrize("records", [10**4, 10**7])
+@pytest.mark.parametrize("n", [45, 60, 200])
+def test_recall_at_the_limit_holds_for_any_record_count(records, n):
+    """Pairs of exactly the least similarity, in the segments of so many records: nearly all share one."""
+    rng = np.random.default_rng(3)
+    word = lambda: int(rng.integers(1 << neardup.WORD_BITS)) << neardup.QUARTERS | int(rng.uniform(2.4, 8.97) * 4)
+    words = []
+    for _ in range(200):
+        base = [word() for _ in range(n)]
+        other = list(base)
+        for k in rng.permutation(n)[: n // 4]:
+            other[k] = word()
+        words += [base, other]
+    cut, value = neardup.sketch_batch(words, np.log2(records) + neardup.MORE_BITS, 0.75)["keys"]
+    keys = [set(value[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    assert sum(bool(a & b) for a, b in zip(keys[::2], keys[1::2], strict=True)) >= 0.97 * 200
