@@ -101,7 +101,7 @@ add(
 _BEATS = """with b as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 900 seconds then 0 else 1 end as fresh from events), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as g from b)
 select user_id, min(ts) as held_from, max(ts) + interval 900 seconds as held_until, count(*) as beats from g group by user_id, g"""
 add("t03_lease_spans", lambda s, d: streams.lease_spans(table(s, d, "events"), "user_id", "ts"), _BEATS)
-add("t03_lease_stream", lambda s, d: streams.run_available(streams.lease_spans(streams.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts"), "leases"))
+add("t03_lease_stream", lambda s, d: streams.run_available(streams.lease_spans(streams.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts"), "leases", "complete"))
 add("t05_claim_once", lambda s, d: streams.run_available(streams.claim_once(streams.table_stream(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id", "ts").select("event_id"), "claims"), "select distinct event_id from events")
 add("t06_latest_status", lambda s, d: streams.latest_status(table(s, d, "events"), "user_id", "event_type", "ts"), "select user_id, arg_max(event_type, ts::varchar || event_type) as event_type, max(ts) as ts from events group by user_id")
 add("t06_status_stream", lambda s, d: streams.run_available(streams.latest_status(streams.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type", "ts").select("user_id", "event_type"), "status", "complete"), "select user_id, arg_max(event_type, ts::varchar || event_type) as event_type from events group by user_id")

@@ -30,15 +30,24 @@ def first_texts(nodes: DataFrame) -> DataFrame:
     return nodes.dropDuplicates(["run_id", "text_digest"])
 
 
-def lease_spans(beats: DataFrame, key: str, time: str, lease_seconds: int = LEASE_SECONDS, late: str = "0 seconds") -> DataFrame:
-    """T3. Spans during which a lease was held: heartbeats no more than the lease apart; a span ends one lease after its last."""
+def lease_spans(beats: DataFrame, key: str, time: str, lease_seconds: int = LEASE_SECONDS, late: str | None = None) -> DataFrame:
+    """T3. Spans during which a lease was held: heartbeats no more than the lease apart; a span ends one lease after its last.
+
+    A stream without `late` has no watermark: run in complete mode, it gives the spans of all heartbeats in any order, open
+    ones included, as the batch does. With `late` (append mode) closed spans only, and heartbeats later than that are lost.
+    """
     w = F.session_window(time, f"{lease_seconds} seconds")
-    src = beats.withWatermark(time, late) if beats.isStreaming else beats
+    src = beats.withWatermark(time, late) if beats.isStreaming and late else beats
     return src.groupBy(key, w.alias("span")).agg(F.count("*").alias("beats")).select(key, F.col("span.start").alias("held_from"), F.col("span.end").alias("held_until"), "beats")
 
 
-def claim_once(claims: DataFrame, key: str, time: str, expiry: str = "1 hour") -> DataFrame:
-    """T5, S26. The first claim of every key; a repeat within the expiry is refused."""
+def claim_once(claims: DataFrame, key: str, time: str, expiry: str | None = None) -> DataFrame:
+    """T5, S26. The first claim of every key; a repeat within the expiry is refused, however late it comes where there is none.
+
+    With an expiry, claims further behind the newest than that are lost, so the input has to be in order up to it.
+    """
+    if expiry is None:
+        return claims.dropDuplicates([key])
     return claims.withWatermark(time, expiry).dropDuplicatesWithinWatermark([key])
 
 
