@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import ids, text
 from corpusmill.operators.retrieve import dense_top_k
 from corpusmill.operators.sections import token_windows
+from corpusmill.session import small_enough
 
 #: Columns by which a manifest entry names a point, and by which a runtime manifest does.
 ENTRY_KEY = ["owner_id", "asset_id", "asset_version_id", "resource_id", "resource_digest", "asset_version_digest"]
@@ -19,9 +20,10 @@ MOST_ENTRIES = 500
 
 
 def allowed(points: DataFrame, entries: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """J5, J6. Points that a manifest of at most 500 entries lists, on all key columns."""
+    """J5, J6. Points that a manifest lists, on all key columns. Up to 500 entries are broadcast, more are shuffled."""
     keys = keys or ENTRY_KEY
-    return points.join(F.broadcast(entries.select(*keys).distinct().limit(MOST_ENTRIES)), keys, "left_semi")
+    few = entries.select(*keys).distinct()
+    return points.join(F.broadcast(few) if small_enough(few, MOST_ENTRIES) else few, keys, "left_semi")
 
 
 def tampered(points: DataFrame, entries: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -52,11 +52,11 @@ def resolve_entities(hosts: DataFrame, entities: DataFrame, host: str = "host")
     """J1. For every host the first entity (smallest ord) one of whose domains is the host or its suffix after a dot.
 
     hosts' rows are exploded to their few suffixes, so the suffix join is an equi join; entities: (entity_id,
-    entity_name, source_type, domain, ord), a fixed list of at most 5,000.
+    entity_name, source_type, domain, ord), of which the first 5,000 by ord count.
     """
     labels = F.split(F.col(host), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    few = F.broadcast(entities.limit(5000))
+    few = F.broadcast(entities.orderBy("ord", "entity_id", "domain").limit(5000))
     hit = hosts.select(host).distinct().where(F.length(host) > 0).withColumn("domain", F.explode(suffixes)).join(few, "domain")
     return hit.groupBy(host).agg(F.min_by(F.struct("entity_id", "entity_name", "source_type"), "ord").alias("e")).select(host, "e.*")
 

@@ -273,3 +273,14 @@ def test_lease_and_claim_streams_equal_batch_over_unordered_files(spark, tmp_pat
     run = lambda name: sorted(tuple(map(plain, r)) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect())
     assert run("t03_lease_stream") == run("t03_lease_spans") != []
     assert run("t05_claim_once") == [(k,) for k in range(54)]
+
+
+def test_no_entry_is_cut(spark):
+    points = spark.range(1200).withColumnRenamed("id", "k")
+    assert assets.allowed(points, points, ["k"]).count() == 1200
+
+
+def test_first_entities_by_ord(spark):
+    few = spark.range(6000).selectExpr("cast(id as string) entity_id", "'n' entity_name", "'t' source_type", "concat('h', id, '.example') domain", "6000 - id as ord")
+    hosts = spark.createDataFrame([("h5999.example",), ("h0.example",)], "host string")
+    assert [r.host for r in index.resolve_entities(hosts, few).collect()] == ["h5999.example"]
