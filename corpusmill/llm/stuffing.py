@@ -89,10 +89,9 @@ def block_measures(docs: DataFrame, ident: str, text: str) -> DataFrame:
             for k, t in enumerate(b.column(1).to_pylist()):
                 own = list(measure(t))
                 if own:
-                    lang = best_language(WORD.findall(t[:5000].lower())) or "und"
                     rows += own
                     at += [k] * len(own)
-                    langs += [lang] * len(own)
+                    langs += [best_language(words) or "und" for x in blocks(t) if (words := WORD.findall(x.lower()))]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 yield pa.record_batch([b.column(0).take(pa.array(at)), pa.array(langs), *[pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]], names=["doc", "lang", "chars", "words", "bucket", "ratio", "ends", "pattern", "pair"])
@@ -104,7 +103,8 @@ def stuffed(docs: DataFrame, ident: str, text: str, extreme: float = 5.0, most_p
     """(ident, stuffed_share): documents of whose text more than `share` is keyword runs, link lists, tags or one repeated phrase.
 
     Each block's words are compressed; the ratio is set against that of all blocks of its length (half octaves of bytes)
-    and language: median, and spread below it, which the spam itself does not move. A block `extreme` spreads above
+    and language, judged block by block: median, and spread below it. Blocks without a language, among which the spam
+    gathers, are set against the blocks of all languages. A block `extreme` spreads above
     is redundant; it is confirmed by a lack of sentence ends, or by one word pair making up `least_pair` of its words.
     A list of different words repeats no word but its pattern: where sentence ends are lacking, the block is
     compressed again with every content word replaced by one sign, and is a list at up to `most_pattern` bytes a
@@ -116,7 +116,7 @@ def stuffed(docs: DataFrame, ident: str, text: str, extreme: float = 5.0, most_p
     m = materialize(block_measures(docs, ident, text), "stuffing")
     # a row for each language and half octave of length that occurs: languages x about 60, whatever the data
     quart = F.percentile_approx("ratio", [0.25, 0.5], 1000)
-    norm = m.groupBy("lang", "bucket").agg(quart.alias("q"), F.count("*").alias("n")).where("n >= 30").select("lang", "bucket", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[1] - F.col("q")[0]) / 0.674, F.lit(0.02)).alias("spread"))
+    norm = m.groupBy("lang", "bucket").agg(quart.alias("q"), F.count("*").alias("n")).where("n >= 30 and lang <> 'und'").select("lang", "bucket", F.col("q")[1].alias("mid"), F.greatest((F.col("q")[1] - F.col("q")[0]) / 0.674, F.lit(0.02)).alias("spread"))
     common = m.groupBy("bucket").agg(quart.alias("q"), F.count("*").alias("n"))
     usual = F.when(F.col("n") >= 30, F.struct(F.col("q")[1].alias("mid"), F.greatest((F.col("q")[1] - F.col("q")[0]) / 0.674, F.lit(0.02)).alias("spread")))
     # a length that hardly occurs takes the norm of the nearest shorter one, else of the next longer one

@@ -1,6 +1,6 @@
 import random
 
-from corpusmill.llm.stuffing import blocks, stuffed
+from corpusmill.llm.stuffing import block_measures, blocks, stuffed
 
 NOUNS = "ledger meter portal quote winter market garden bridge letter engine window valley doctor singer copper".split()
 MANY = [x + y + z for x in "bra cor del fin gor hul mar nes pol ran".split() for y in "ti mo la ve ku sa".split() for z in "nd rt x l sh mp".split()]
@@ -40,3 +40,14 @@ def test_kinds_and_hard_negatives(spark):
 
 def test_blocks_join_items_without_sentence_end():
     assert blocks("a\n\nb\n\nC is here.\n\n\n\nd") == ["a\nb", "C is here.", "d"]
+
+
+def test_language_is_judged_by_the_block(spark):
+    """A long opening in another language does not choose the norm of the rest, and spam without a language is no norm of its own."""
+    opening = "Der Markt und die Brücke sind nicht für das Fenster. " * 120
+    mixed = opening.strip() + "\n\n" + prose(random.Random(2), 60)
+    got = block_measures(spark.createDataFrame([(1, mixed)], "id int, t string"), "id", "t").collect()
+    assert {r.lang for r in got} == {"de", "en"}
+    rng = random.Random(4)
+    rows = [(k, prose(rng, 24)) for k in range(200)] + [(k, "Cheap blue widgets. " * rng.randrange(76, 100)) for k in range(1000, 1080)]
+    assert {r.id for r in stuffed(spark.createDataFrame(rows, "id int, t string"), "id", "t").collect()} == set(range(1000, 1080))
