@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark removes an execution's shuffle files when it ends; what a written table was made from is not needed again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -41,10 +44,13 @@ def reachable(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset and all tasks run in this process (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "corpusmill-shared"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "corpusmill-shared"))
     return sc.getCheckpointDir()
 
 
@@ -52,7 +58,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df as parquet into the shared folder and read it back. Removed when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/mill-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
