@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import materialize, small_enough
+from corpusmill.session import discard, materialize, small_enough
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -31,8 +31,12 @@ FEW_SEGMENTS, PER_SEGMENT, LEAST_TOKENS = 1.5, 6, 6
 SKETCH_WORDS = 16
 #: Distinct contents in a bucket from which its pairs are made in blocks of about BLOCK contents, behind the bounds.
 HOT_BUCKET, BLOCK = 64, 4096
-#: Rows of one or two longs that may be broadcast: at most 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: Rows of one or two longs that may be broadcast: some 16 MB as a hashed relation.
+BROADCAST_ROWS = 200_000
+#: Segments a record is dealt to at once, on average (about a third of them carry enough to join); the rest follows in further passes, whose disk is freed in between.
+PASS_SEGMENTS = 150
+#: However few records there are, so many segments fit into one pass; and there are never more passes than this.
+PASS_LEAST, MOST_PASSES = 4_000_000, 12
 #: Edits may fall on rare words more often than on others.
 SLACK = 0.85
 WORD_BITS = 43
@@ -98,11 +102,10 @@ def slot_counts(tokens: np.ndarray, size: np.ndarray, pieces: np.ndarray, least:
     return np.maximum(np.ceil(np.log(1 - FOUND) / np.log1p(-one)), SLOTS).astype(np.int64)
 
 
-def sketch_batch(words: list[list[int]], bits: float, nearest: float) -> dict[str, tuple]:
-    """Content hash, tokens, sketch and segment words of records given as word ids with their quarter bits.
+def sketch_batch(words: list[list[int]]) -> dict[str, np.ndarray]:
+    """Counts, content hash, tokens, the bits of their words in quarters, and sketch of records given as word ids.
 
     A token is a word with the number of its occurrence, so that sets of tokens stand for multisets of words.
-    bits: what a segment needs.
     """
     n = np.array([len(w) for w in words], dtype=np.int64)
     rec = np.repeat(np.arange(len(words), dtype=np.uint64), n)
@@ -113,42 +116,62 @@ def sketch_batch(words: list[list[int]], bits: float, nearest: float) -> dict[st
     place = np.arange(len(combined))
     occurrence = place - np.maximum.accumulate(np.where(first, place, 0))
     rec = (combined >> _U(WORD_BITS + QUARTERS)).astype(np.int64)
-    quarters = (combined & _U((1 << QUARTERS) - 1)).astype(np.int64)
-    rare = quarters > FREQUENT
     token = _mix(((combined >> _U(QUARTERS)) & _U((1 << WORD_BITS) - 1)) + _U(0xD1342543DE82EF95) * occurrence.astype(np.uint64), 1)
     edges = np.concatenate([[0], np.cumsum(n)])
-    content = np.add.reduceat(_mix(token, 2), edges[:-1])
     # parity sketch: every token flips one bit, so the Hamming distance is at most the symmetric difference
     sketch = np.zeros((len(words), SKETCH_WORDS), dtype=np.uint64)
     bit = _mix(token, 3)
     np.bitwise_xor.at(sketch, (rec, (bit % _U(SKETCH_WORDS)).astype(np.int64)), _U(1) << ((bit >> _U(32)) & _U(63)))
-    short = (token >> _U(32)).astype(np.uint32).view(np.int32)
-    ones = np.ones(len(rec), dtype=np.int64)
-    worth = np.maximum(np.bincount(rec, weights=quarters * rare, minlength=len(words)), 1).astype(np.int64)
-    few = worth < FEW_SEGMENTS * 4 * bits
-    # so that a record with few bits meets a partner that has a little more
-    near_few = worth * SLACK * nearest < FEW_SEGMENTS * 4 * bits
-    rares = np.bincount(rec, weights=rare, minlength=len(words)).astype(np.int64)
-    keys: list[tuple[np.ndarray, np.ndarray]] = []
-    families = ((rare, np.ones(len(words), dtype=bool), rares, worth, quarters, SPARE * 4 * bits, 4 * bits), (ones > 0, near_few, n, n, ones, PER_SEGMENT, LEAST_TOKENS))
-    for number, (mask, members, count, size, weight, mean, least) in enumerate(families):
-        band = np.floor(np.log2(size)).astype(np.int64)
-        for step in (0, 1):
-            # a partner of a larger band is hardly ever more than 1 / (SLACK * nearest) times as large
-            joins = members if step == 0 else members & (size / (SLACK * nearest) >= 2.0 ** (band + 1))
-            b = band + step
-            pieces = np.maximum(np.rint(1.4 * 2.0**b / mean), 2).astype(np.int64)
-            slots = slot_counts(count, size, pieces, least, nearest)
-            if number == 0:
-                slots[few] = SLOTS  # these are found by all their tokens
-            use = mask & joins[rec]
+    content = np.add.reduceat(_mix(token, 2), edges[:-1]).view(np.int64)
+    return {"n": n, "content": content, "tokens": (token >> _U(32)).astype(np.uint32), "quarters": (combined & _U((1 << QUARTERS) - 1)).astype(np.int64), "sketch": sketch.view(np.int64)}
+
+
+class Segments:
+    """How a batch of records is dealt to segments: for each family of tokens and each size band a record joins in, its
+    number of pieces and of segments. bits: what a segment needs."""
+
+    def __init__(self, n: np.ndarray, tokens: np.ndarray, quarters: np.ndarray, bits: np.ndarray, nearest: float):
+        self.tokens, size = tokens, len(n)
+        self.rec = np.repeat(np.arange(size), n)
+        rare = quarters > FREQUENT
+        worth = np.maximum(np.bincount(self.rec, weights=quarters * rare, minlength=size), 1).astype(np.int64)
+        few = worth < FEW_SEGMENTS * 4 * bits
+        # so that a record with few bits meets a partner that has a little more
+        near_few = worth * SLACK * nearest < FEW_SEGMENTS * 4 * bits
+        rares = np.bincount(self.rec, weights=rare, minlength=size).astype(np.int64)
+        every, ones = np.ones(size, dtype=bool), np.ones(len(tokens), dtype=np.int64)
+        families = ((rare, every, rares, worth, quarters, SPARE * 4 * bits, 4 * bits), (ones > 0, near_few, n, n, ones, np.full(size, PER_SEGMENT), np.full(size, LEAST_TOKENS)))
+        self.parts = []
+        for number, (mask, members, count, weight, each, mean, least) in enumerate(families):
+            band = np.floor(np.log2(weight)).astype(np.int64)
+            for step in (0, 1):
+                # a partner of a larger band is hardly ever more than 1 / (SLACK * nearest) times as large
+                joins = members if step == 0 else members & (weight / (SLACK * nearest) >= 2.0 ** (band + 1))
+                b = band + step
+                pieces = np.maximum(np.rint(1.4 * 2.0**b / mean), 2).astype(np.int64)
+                slots = slot_counts(count, weight, pieces, least, nearest)
+                if number == 0:
+                    slots[few] = SLOTS  # these are found by all their tokens
+                self.parts.append((number, mask, b, pieces, np.where(joins & (count > 0), slots, 0), each, least))
+
+    def counts(self) -> np.ndarray:
+        """Segments by record and part."""
+        return np.stack([part[4] for part in self.parts], axis=1)
+
+    def words(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """(record, segment word) of the segments numbered low to high - 1 in their part, by record."""
+        keys: list[tuple[np.ndarray, np.ndarray]] = []
+        for number, mask, b, pieces, slots, each, least in self.parts:
+            own = slots > low
+            use = mask & own[self.rec]
             if not use.any():
                 continue
-            r0, t0, w0 = rec[use], token[use], weight[use]
-            rep = 0
+            r0, t0, w0 = self.rec[use], self.tokens[use].astype(np.uint64), each[use]
+            rep = int(low // pieces[own].max())
             while len(r0):
+                now = (rep + 1) * pieces[r0] > low
                 slot = rep * pieces[r0] + (_mix(t0, 10 + rep) % pieces[r0].astype(np.uint64)).astype(np.int64)
-                ok = slot < slots[r0]
+                ok = now & (slot >= low) & (slot < np.minimum(slots[r0], high))
                 cell, t, w = r0[ok] << SLOT_BITS | slot[ok], t0[ok], w0[ok]
                 rep += 1
                 if len(cell):
@@ -156,17 +179,20 @@ def sketch_batch(words: list[list[int]], bits: float, nearest: float) -> dict[st
                     cell, t, w = cell[order], _mix(t[order], 5), w[order]
                     begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
                     word = np.bitwise_xor.reduceat(t, begin)
-                    keep = np.add.reduceat(w, begin) >= least
-                    r, place, word = cell[begin[keep]] >> SLOT_BITS, cell[begin[keep]] & ((1 << SLOT_BITS) - 1), word[keep]
+                    r = cell[begin] >> SLOT_BITS
+                    keep = np.add.reduceat(w, begin) >= least[r]
+                    r, place, word = r[keep], (cell[begin] & ((1 << SLOT_BITS) - 1))[keep], word[keep]
                     keys.append((r, _mix(word ^ _mix((b[r] * 4 + number << SLOT_BITS | place).astype(np.uint64), 6), 7)))
-                more = rep * pieces[r0] < slots[r0]
+                more = rep * pieces[r0] < np.minimum(slots[r0], high)
                 r0, t0, w0 = r0[more], t0[more], w0[more]
-    owner = np.concatenate([k[0] for k in keys]) if keys else np.zeros(0, dtype=np.int64)
-    value = np.concatenate([k[1] for k in keys]) if keys else np.zeros(0, dtype=np.uint64)
-    order = np.argsort(owner, kind="stable")
-    owner, value = owner[order], value[order].view(np.int64)
-    cut = np.searchsorted(owner, np.arange(len(words) + 1))
-    return {"n": n, "content": content.view(np.int64), "tokens": (edges, short), "sketch": sketch.view(np.int64), "keys": (cut, value)}
+        owner = np.concatenate([k[0] for k in keys]) if keys else np.zeros(0, dtype=np.int64)
+        value = np.concatenate([k[1] for k in keys]) if keys else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(owner, kind="stable")
+        return owner[order], value[order].view(np.int64)
+
+
+def _lists(offsets: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
 def _records(kinds: dict[str, int], known_words: dict[str, dict[int, int]], bits: dict[str, float], nearest: float):
@@ -176,17 +202,18 @@ def _records(kinds: dict[str, int], known_words: dict[str, dict[int, int]], bits
         cache: dict[str, dict[str, int]] = {k: {} for k in kinds}
         usual = int(-np.log2(RARE_SHARE) * 4)
 
-        def lists(offsets, values, kind):
-            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
-
         def emit(kind, keys, words):
-            out = sketch_batch(words, bits[kind], nearest)
+            out = sketch_batch(words)
             content = (out["content"].view(np.uint64) ^ _U(tags[kind])).view(np.int64)
-            m = len(words)
+            m, edges = len(words), np.concatenate([[0], np.cumsum(out["n"])])
+            counts = Segments(out["n"], out["tokens"], out["quarters"], np.full(m, bits[kind]), nearest).counts()
             return pa.record_batch(
-                [pa.array([kind] * m), pa.array(keys, pa.string()), pa.array(content), pa.array(out["n"].astype(np.int32)), lists(*out["tokens"], pa.int32()), lists(np.arange(m + 1) * SKETCH_WORDS, out["sketch"].ravel(), pa.int64()), lists(*out["keys"], pa.int64())],
-                names=["kind", "key", "content", "n", "tokens", "sketch", "keys"],
-            )
+                [
+                    pa.array([kind] * m), pa.array(keys, pa.string()), pa.array(content), pa.array(out["n"].astype(np.int32)), _lists(edges, out["tokens"].view(np.int32), pa.int32()), _lists(edges, out["quarters"].astype(np.int8), pa.int8()),
+                    _lists(np.arange(m + 1) * SKETCH_WORDS, out["sketch"].ravel(), pa.int64()), _lists(np.arange(m + 1) * counts.shape[1], counts.astype(np.int32).ravel(), pa.int32()),
+                ],
+                names=["kind", "key", "content", "n", "tokens", "quarters", "sketch", "counts"],
+            )
 
         for b in batches:
             held: dict[str, tuple[list, list, int]] = {}
@@ -218,6 +245,44 @@ def _records(kinds: dict[str, int], known_words: dict[str, dict[int, int]], bits
     return run
 
 
+def _segments(bits: dict[str, float], nearest: float, low: int, high: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            lengths = whole.column(2).to_numpy().astype(np.int64)
+            size, cuts = np.cumsum(lengths), [0]
+            while cuts[-1] < len(lengths):
+                done = size[cuts[-1] - 1] if cuts[-1] else 0
+                cuts.append(min(max(int(np.searchsorted(size, done + BATCH_WORDS, "right")), cuts[-1] + 1), cuts[-1] + BATCH_RECORDS))
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                b = whole.slice(at, end - at)
+                need = np.array([bits[k] for k in b.column(0).to_pylist()])
+                made = Segments(b.column(2).to_numpy().astype(np.int64), b.column(3).flatten().to_numpy().view(np.uint32), b.column(4).flatten().to_numpy().astype(np.int64), need, nearest)
+                owner, value = made.words(low, high)
+                some, begin = np.unique(owner, return_index=True)
+                yield pa.record_batch([b.column(1).take(pa.array(some)), _lists(np.concatenate([begin, [len(owner)]]), value, pa.int64())], names=["content", "keys"])
+
+    return run
+
+
+def passes(counts: dict[int, int], most: float) -> list[tuple[int, int]]:
+    """Ranges of segment numbers that cover all segments and hold at most `most` of them, or one number. counts: how many have how many."""
+    c = np.array(sorted(k for k in counts if k > 0), dtype=np.int64)
+    m = np.array([counts[k] for k in c.tolist()], dtype=np.float64)
+    out, low = [], 0
+    while len(c) and low < c[-1]:
+        upto = np.cumsum(np.concatenate([[0], np.diff(np.concatenate([[low], np.maximum(c, low)])) * np.cumsum(m[::-1])[::-1]]))
+        k = int(np.searchsorted(upto, most, "right"))
+        if k == len(upto):
+            high = int(c[-1])
+        else:
+            still = float(m[k - 1 :].sum())
+            high = max(low, int(c[k - 2]) if k > 1 else low) + int((most - upto[k - 1]) // still)
+        high = max(high, low + 1)
+        out.append((low, high))
+        low = high
+    return out
+
+
 def _within_bounds(least: float):
     def run(key: tuple, cell: pa.Table) -> pa.Table:
         content, n = cell["content"].to_numpy(), cell["n"].to_numpy().astype(np.int64)
@@ -252,6 +317,38 @@ def _dense_pairs(hot: DataFrame, made: DataFrame, least: float) -> DataFrame:
     return met.groupBy("seg", "i", "j").applyInArrow(_within_bounds(least), "a long, b long")
 
 
+def _pass_pairs(made: DataFrame, bits: dict[str, float], least: float, low: int, high: int) -> DataFrame:
+    """(a, b): the contents that agree on a segment numbered low to high - 1."""
+    made_now = materialize(made.select("kind", "content", "n", "tokens", "quarters").mapInArrow(_segments(bits, least, low, high), "content long, keys array<long>"), "keys")
+    segments = made_now.select("content", F.explode("keys").alias("seg"))
+    # u_lo, u_hi, m and the sum of u tell whether a bucket holds just two contents, however often each: then the sum is
+    # m * u_lo plus a multiple of u_hi - u_lo, which by chance happens once in billions
+    part = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    shared = segments.withColumn("u", part("content")).groupBy("seg").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.count("*").alias("m"), F.sum("u").alias("u")).where("lo < hi")
+    step = part("hi") - part("lo")
+    shared = shared.withColumn("two", F.when(step == 0, False).otherwise((F.col("u") - F.col("m") * part("lo")) % F.when(step == 0, 1).otherwise(step) == 0))
+    shared = materialize(shared.select("seg", "lo", "hi", "m", "two"), "segments")
+    couples = shared.where("two").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    more = shared.where("not two").select("seg", "m")
+    rows = segments.join(F.broadcast(more) if small_enough(more, BROADCAST_ROWS) else more, "seg").select("seg", "content", "m").distinct()
+    rows = materialize(rows, "buckets")
+    warm = rows.where(F.col("m") <= HOT_BUCKET).select("seg", "content")
+    hot = rows.where(F.col("m") > HOT_BUCKET)
+    dense = None
+    if not hot.isEmpty():
+        # buckets of the same contents give the same pairs: one of them is compared
+        sized = hot.groupBy("seg").agg(F.count("*").alias("d"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
+        hot = hot.join(sized, "seg")
+        warm = warm.unionByName(hot.where(F.col("d") <= HOT_BUCKET).select("seg", "content"))
+        one = sized.where(F.col("d") > HOT_BUCKET).groupBy("d", "x", "y").agg(F.min("seg").alias("seg"))
+        dense = _dense_pairs(hot.join(one.select("seg"), "seg", "left_semi"), made, least)
+    pairs = warm.select("seg", F.col("content").alias("a")).join(warm.select("seg", F.col("content").alias("b")), "seg").where("a < b").select("a", "b").union(couples)
+    pairs = materialize((pairs if dense is None else pairs.union(dense)).distinct(), "passpairs")
+    for done in (made_now, shared, rows):
+        discard(done)
+    return pairs
+
+
 def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Records that share at least `least` of the longer one's words, counted as often as they occur in both.
 
@@ -269,8 +366,11 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
     all of them. Pairs that agree on a
     segment go through the size bound, the parity sketch's Hamming distance (a lower bound of the symmetric difference)
     and an exact count. A pair is found with a probability that grows with its similarity, from FOUND right at the limit
-    on: a record joins by as many segments as that takes (slot_counts), however many records there are. A bucket of more than HOT_BUCKET contents is compared
-    block by block, where only pairs within the two bounds become rows; no pair is lost by that.
+    on: a record joins by as many segments as that takes (slot_counts), however many records there are. They are joined in
+    passes of PASS_SEGMENTS a record, each writing its pairs before the next begins, so that what lies on disk at once does
+    not grow with the number of segments. A bucket of more than HOT_BUCKET contents is compared
+    block by block, where only pairs within the two bounds become rows; no pair is lost by that. Common words are
+    counted by 32-bit hashes of (word, occurrence): a pair of n and m words gains a false one with a chance of n * m / 2**32.
 
     The words in at least RARE_SHARE of the records are collected with their counts: they are at most 500 times as
     many as a record has different words on average.
@@ -288,35 +388,17 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
         rows = counted.where((F.col("kind") == k) & (F.col("word") >= 0) & (F.col("records") >= max(n * RARE_SHARE, 2))).select("word", "records").collect()
         known_words[k] = {r.word: int(max(-np.log2(r.records / n), 0) * 4) for r in rows}
         bits[k] = np.log2(max(n, 2)) + MORE_BITS
-    made = src.mapInArrow(_records(kinds, known_words, bits, least), "kind string, key string, content long, n int, tokens array<int>, sketch array<long>, keys array<long>")
+    made = src.mapInArrow(_records(kinds, known_words, bits, least), "kind string, key string, content long, n int, tokens array<int>, quarters array<byte>, sketch array<long>, counts array<int>")
     made = materialize(made, "sketches")
     members = made.select("kind", "key", "content").distinct()
-
-    segments = made.select("content", F.explode("keys").alias("seg"))
-    # u_lo, u_hi, m and the sum of u tell whether a bucket holds just two contents, however often each: then the sum is
-    # m * u_lo plus a multiple of u_hi - u_lo, which by chance happens once in billions
-    low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
-    shared = segments.withColumn("u", low("content")).groupBy("seg").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.count("*").alias("m"), F.sum("u").alias("u")).where("lo < hi")
-    step = low("hi") - low("lo")
-    shared = shared.withColumn("two", F.when(step == 0, False).otherwise((F.col("u") - F.col("m") * low("lo")) % F.when(step == 0, 1).otherwise(step) == 0))
-    shared = materialize(shared.select("seg", "lo", "hi", "m", "two"), "segments")
-    couples = shared.where("two").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    more = shared.where("not two").select("seg", "m")
-    rows = segments.join(F.broadcast(more) if small_enough(more, BROADCAST_ROWS) else more, "seg").select("seg", "content", "m").distinct()
-    rows = materialize(rows, "buckets")
-    warm = rows.where(F.col("m") <= HOT_BUCKET).select("seg", "content")
-    hot = rows.where(F.col("m") > HOT_BUCKET)
-    dense = None
-    if not hot.isEmpty():
-        # buckets of the same contents give the same pairs: one of them is compared
-        sized = hot.groupBy("seg").agg(F.count("*").alias("d"), F.bit_xor("content").alias("x"), F.bit_xor(F.xxhash64("content")).alias("y"))
-        hot = hot.join(sized, "seg")
-        warm = warm.unionByName(hot.where(F.col("d") <= HOT_BUCKET).select("seg", "content"))
-        one = sized.where(F.col("d") > HOT_BUCKET).groupBy("d", "x", "y").agg(F.min("seg").alias("seg"))
-        dense = _dense_pairs(hot.join(one.select("seg"), "seg", "left_semi"), made, least)
-    pairs = warm.select("seg", F.col("content").alias("a")).join(warm.select("seg", F.col("content").alias("b")), "seg").where("a < b").select("a", "b").union(couples)
-    pairs = (pairs if dense is None else pairs.union(dense)).distinct()
-    pairs = materialize(pairs, "pairs")
+    counts = {r.c: r.n for r in made.select(F.explode("counts").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
+    found = [_pass_pairs(made, bits, least, low, high) for low, high in passes(counts, max(PASS_SEGMENTS * sum(total.values()), PASS_LEAST, sum(c * n for c, n in counts.items()) / MOST_PASSES))]
+    pairs = found[0] if found else made.select(F.col("content").alias("a"), F.col("content").alias("b")).where("false")
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    pairs = materialize(pairs.distinct(), "pairs")
+    for done in found:
+        discard(done)
 
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     wanted = materialize(made.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "content", "left_semi").select("content", "kind", "n", "sketch", "tokens").dropDuplicates(["content"]), "wanted")

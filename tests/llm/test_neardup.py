@@ -40,9 +40,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "n", 3) for r in rows], "kind string, key string, text string, content string, n int")
 
 
-@pytest.mark.parametrize("hot", [neardup.HOT_BUCKET, 2])
-def test_against_all_pairs(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "held"), [(neardup.HOT_BUCKET, neardup.PASS_LEAST), (2, 50_000)])
+def test_against_all_pairs(spark, monkeypatch, hot, held):
     monkeypatch.setattr(neardup, "HOT_BUCKET", hot)
+    monkeypatch.setattr(neardup, "PASS_LEAST", held)
     rng = random.Random(12)
     pages, units = corpus(rng, 90, (100, 500)), corpus(rng, 90, (40, 130))
     pages += [("copy1", pages[0][1]), ("copy2", pages[0][1].upper()), ("reversed", " ".join(reversed(pages[0][1].split())))]
@@ -97,19 +98,38 @@ def test_hot_buckets_lose_no_pair(spark, monkeypatch):
     assert len(links[0]) > 500 and links[1] == links[0]
 
 
-@pytest.mark.parametrize("records", [10**4, 10**7])
-@pytest.mark.parametrize("n", [45, 60, 200])
-def test_recall_at_the_limit_holds_for_any_record_count(records, n):
+def test_passes_cover_all_segments():
+    rng = random.Random(2)
+    for _ in range(50):
+        counts = {rng.randrange(0, 3000): rng.randrange(1, 500) for _ in range(rng.randrange(1, 9))}
+        most = rng.randrange(500, 200_000)
+        ranges = neardup.passes(counts, most)
+        assert [a for a, _ in ranges] == [0, *[b for _, b in ranges]][: len(ranges)] and (ranges[-1][1] if ranges else 0) == max(counts)
+        for a, b in ranges:
+            held = sum(n * (min(max(c, a), b) - a) for c, n in counts.items())
+            assert held <= most or b == a + 1
+
+
+@pytest.mark.parametrize(("records", "n", "pairs"), [(10**5, 45, 200), (10**5, 200, 200), (10**7, 60, 200), (10**9, 120, 60)])
+def test_recall_at_the_limit_holds_for_any_record_count(records, n, pairs):
     """Pairs of exactly the least similarity, in the segments of so many records: nearly all share one."""
     rng = np.random.default_rng(3)
     word = lambda: int(rng.integers(1 << neardup.WORD_BITS)) << neardup.QUARTERS | int(rng.uniform(2.4, 8.97) * 4)
     words = []
-    for _ in range(200):
+    for _ in range(pairs):
         base = [word() for _ in range(n)]
         other = list(base)
         for k in rng.permutation(n)[: n // 4]:
             other[k] = word()
         words += [base, other]
-    cut, value = neardup.sketch_batch(words, np.log2(records) + neardup.MORE_BITS, 0.75)["keys"]
-    keys = [set(value[a:b].tolist()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    assert sum(bool(a & b) for a, b in zip(keys[::2], keys[1::2], strict=True)) >= 0.97 * 200
+    made = neardup.sketch_batch(words)
+    segments = neardup.Segments(made["n"], made["tokens"], made["quarters"], np.full(len(words), np.log2(records) + neardup.MORE_BITS), 0.75)
+    most = int(segments.counts().max())
+    met = set()
+    for low, high in ((0, 50), (50, 51), (51, most)):
+        owner, value = segments.words(low, high)
+        assert len(set(zip(owner.tolist()[:5000], value.tolist()[:5000], strict=True))) == min(len(owner), 5000)
+        even = owner % 2 == 0
+        for pair in np.unique(np.intersect1d(owner[even] // 2 * 2**50 + value[even] % 2**50, owner[~even] // 2 * 2**50 + value[~even] % 2**50) // 2**50).tolist():
+            met.add(pair)
+    assert len(met) >= 0.96 * pairs
