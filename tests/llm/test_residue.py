@@ -58,5 +58,30 @@ def test_said_outright(spark, text):
     assert run(spark, [("p", "a.example", para(text), None, None)]) == {"p": ["notice"]}
 
 
+LOST = "Die angeforderte Seite wurde leider nicht gefunden, vielleicht hat der Verweis einen Fehler. "
+
+
+def test_templates_by_alignment(spark):
+    """No word of these is in a list: what counts is that nothing else is on the page and that it fails, or that one site shows it again and again."""
+    rows = [(f"g{k}", f"{'uvw'[k % 3]}dorf.example", [("heading", "Nichts da", False), *para(LOST * 8), *NAV], "404" if k < 2 else "200", None) for k in range(6)]
+    rows += [(f"p{k}", f"{'uv'[k % 2]}burg.example", [("heading", "La page est introuvable", False), *para(f"Retour vers {'uv'[k % 2]}burg {k}"), *NAV], None, None) for k in range(6)]
+    # articles in which only some texts recur, however often
+    rows += [(f"a{k}", f"{'uvw'[k % 3]}stadt.example", para("Von der Redaktion", f"Bericht {'abcdef'[k]} vom Markt und seinen Leuten."), "404", None) for k in range(6)]
+    assert run(spark, rows) == {**{f"g{k}": ["notice"] for k in range(6)}, **{f"p{k}": ["template"] for k in range(6)}}
+
+
+def test_slots_retain_names_in_marks_of_any_shape(spark):
+    rows = [(f"s{k}", "a.example", para(LONG, f"Dear {{{{customer_name}}}}, see {k}"), "200", None) for k in range(3)]
+    odd = ["to <<customer_name>> now", "to &lt;customer_name&gt; now", "to #CUSTOMER_NAME# now", "to { customer name } now", "to $CUSTOMER_NAME now", "to ~~customer_name~~ now"]
+    rows += [(f"o{k}", "b.example", para(LONG, t), "200", None) for k, t in enumerate(odd)]
+    rows += [(f"x{k}", "c.example", para(LONG, t), "200", None) for k, t in enumerate(["to <<other name>> now", "the field customer_name is empty", "#customers #names", "costs $300 or $USD"])]
+    got = run(spark, rows)
+    assert set(got) == {f"s{k}" for k in range(3)} | {f"o{k}" for k in range(len(odd))}
+
+
+def test_default_words_inside_a_title_are_no_default(spark):
+    assert run(spark, [("p", "a.example", para(LONG, "Default paragraph checks for tourism", "Sample text for clerks"), "200", None)]) == {}
+
+
 def test_empty(spark):
     assert run(spark, []) == {}
