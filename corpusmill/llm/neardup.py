@@ -34,9 +34,9 @@ HOT_BUCKET, BLOCK = 64, 4096
 #: Rows of one or two longs that may be broadcast: some 16 MB as a hashed relation.
 BROADCAST_ROWS = 200_000
 #: Segments a record is dealt to at once, on average (about a third of them carry enough to join); the rest follows in further passes, whose disk is freed in between.
-PASS_SEGMENTS = 150
+PASS_SEGMENTS = 80
 #: However few records there are, so many segments fit into one pass; and there are never more passes than this.
-PASS_LEAST, MOST_PASSES = 4_000_000, 12
+PASS_LEAST, MOST_PASSES = 4_000_000, 24
 #: Edits may fall on rare words more often than on others.
 SLACK = 0.85
 WORD_BITS = 43
