@@ -13,14 +13,16 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"[^\W_]+")
 
-#: Length of a q-gram in characters.
+#: Length of a q-gram in characters, at most; each character counts with 8 bits of its code.
 Q = 8
-#: Characters of documents that are worked on at once.
-CHUNK_CHARS = 3_000_000
-#: Items held by one pass over the documents; more items take several passes.
-BLOCK_ITEMS = 5_000
-#: Bits of the filter that most q-grams of unrelated documents stop at.
-FILTER_BITS = 22
+#: Steps at which q-grams of an item are taken, widest first, and the shared q-grams that a step has to leave of a passage.
+STEPS = ((4, 6), (2, 4), (1, 1))
+#: Characters of documents that are worked on at once, and windows that are aligned at once.
+CHUNK_CHARS, CHUNK_WINDOWS = 3_000_000, 50_000
+#: Items and characters of items held by one pass over the documents; more items take several passes.
+BLOCK_ITEMS, BLOCK_CHARS = 5_000, 8_000_000
+#: Bits of the filter that most q-grams of unrelated documents stop at, and of a diagonal's number.
+FILTER_BITS, DIAGONAL_BITS = 22, 26
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,175 +36,165 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _anchors(codes: np.ndarray) -> np.ndarray:
-    """Positions at which a word begins."""
-    gap = (codes == 32) | (codes == 10)
-    begin = ~gap
-    begin[1:] &= gap[:-1]
-    return np.flatnonzero(begin)
-
-
-def _grams(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Hash of the Q characters from each position; the text must go on for Q characters behind the last."""
-    h = np.zeros(len(at), dtype=np.uint64)
-    for j in range(Q):
-        h = (h ^ codes[at + j].astype(np.uint64)) * _MULT
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def _span(at: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    """at[0], at[0]+1, ... runs[0] of them, then from at[1] on."""
-    ends = np.cumsum(runs)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - runs, runs) + np.repeat(at, runs)
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """The q characters from each position on as one number."""
+    small = np.concatenate([(codes * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(codes), np.uint64, small, strides=(1,))
+    return (eight & np.uint64((1 << 8 * q) - 1)) * _MULT
 
 
 class Items:
-    """The q-grams of the evaluation passages, anchored at word starts."""
+    """The q-grams of the evaluation passages, at steps that leave a passage with `edits` edits enough of them."""
 
     def __init__(self, items: list[tuple[object, str]], words: int, edits: int):
-        self.words, self.edits = words, edits
-        self.keys, self.texts = [], []
+        self.words, self.edits, self.keys, texts = words, edits, [], []
         for k, t in items:
             p = plain(t)
             if p.count(" ") + 1 >= words:
                 self.keys.append(k)
-                self.texts.append(p)
-        joined = "\n".join(self.texts) + "\n" * (Q + 1)
-        self.codes = _codes(joined)
-        at = _anchors(self.codes)
-        grams = _grams(self.codes, at)
+                texts.append(f" {p} ")
+        # a run of spaces costs more edits than there may be, so that no passage reaches over it
+        self.gap = " " * (edits + 2)
+        self.codes = _codes(self.gap.join(["", *texts, ""]))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = np.cumsum(sizes + edits + 2) - sizes
+        # no passage is shorter than words of one letter, of which some q-gram has to be left
+        self.q = max(min(Q, (2 * words + 1) // (edits + 1)), 1)
+        self.windows, self.steps, self.least, at = [], [], [], []
+        for start, size, text in zip(self.starts, sizes, texts, strict=True):
+            gaps = np.array([m.start() for m in re.finditer(" ", text)], dtype=np.int64)
+            begin, end = gaps[:-words], gaps[words:] + 1
+            self.windows.append((begin, end))
+            for step, enough in STEPS:
+                taken = (end - self.q) // step - (begin - 1) // step  # multiples of step from begin to end - q
+                spoiled = edits * -(-self.q // step)
+                if taken.min() - spoiled >= enough or step == 1:
+                    break
+            self.steps.append((step, taken - spoiled))
+            self.least.append(max(int(taken.min()) - spoiled, 1))
+            at.append(start + np.arange(0, size - self.q + 1, step))
+        self.least = np.array(self.least, dtype=np.int64)
+        at = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+        grams = _grams(self.codes, self.q)[at]
         order = np.argsort(grams, kind="stable")
-        self.at, sorted_grams = at[order], grams[order]
-        self.grams, self.first, self.runs = np.unique(sorted_grams, return_index=True, return_counts=True)
-        starts = np.cumsum([0, *[len(t) + 1 for t in self.texts]])[:-1]
-        self.starts = starts.astype(np.int64)
+        self.at = at[order]
+        self.grams, self.first, self.runs = np.unique(grams[order], return_index=True, return_counts=True)
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[(self.grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-        # the last anchors of a passage reach over its end, and an edit spoils the anchors whose q-gram covers it
-        over = (Q + 1) // 2
-        self.least = max(words - over - edits * (over + 1), 1)
-
-
-def _equal_words(doc: np.ndarray, item: np.ndarray, shift: int, words: int) -> bool:
-    """Whether doc, moved by shift, agrees with item on `words` whole words in a row."""
-    low, high = max(0, -shift), min(len(item), len(doc) - shift)
-    if high <= low:
-        return False
-    a, b = doc[low + shift : high + shift], item[low:high]
-    same = np.concatenate([[False], a == b, [False]])
-    turn = np.flatnonzero(same[1:] != same[:-1])
-    edge = lambda codes, i: i < 0 or i >= len(codes) or codes[i] in (32, 10)
-    for s, e in zip(turn[::2], turn[1::2], strict=True):
-        run = b[s:e]
-        gaps = np.flatnonzero(run == 32)
-        # word boundaries on both sides of the run
-        left = 0 if edge(doc, s + low + shift - 1) and edge(item, s + low - 1) else (gaps[0] + 1 if len(gaps) else e - s)
-        right = e - s if edge(doc, e + low + shift) and edge(item, e + low) else (gaps[-1] if len(gaps) else 0)
-        if right > left and int(np.count_nonzero(run[left:right] == 32)) + 1 >= words:
-            return True
-    return False
-
-
-def banded_distance(pattern: str, text: str, most: int) -> int:
-    """Fewest edits that turn `pattern` into some part of `text` that begins within its first 2*most+1 characters; most+1 if more."""
-    width = 2 * most + 1
-    prev = [0] * (width + 1)  # prev[d]: pattern[:i] against text up to i+d, free start inside the band
-    for i in range(1, len(pattern) + 1):
-        cur = [most + 1] * (width + 1)
-        for d in range(width + 1):
-            j = i + d
-            best = prev[d + 1] + 1 if d < width else most + 1
-            if 1 <= j <= len(text):
-                best = min(best, prev[d] + (pattern[i - 1] != text[j - 1]))
-                if d:
-                    best = min(best, cur[d - 1] + 1)
-            elif d:
-                best = min(best, cur[d - 1] + 1) if j <= len(text) else best
-            cur[d] = min(best, most + 1)
-        prev = cur
-        if min(prev) > most:
-            return most + 1
-    return min(prev)
-
-
-def _aligned(doc: np.ndarray, item: np.ndarray, shift: int, words: int, edits: int) -> bool:
-    """Whether `words` words in a row of item occur in doc near the diagonal `shift` with at most `edits` edited characters."""
-    text = item.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    body = doc.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    begins = [m.start() for m in re.finditer(r"\S+", text)]
-    ends = [m.end() for m in re.finditer(r"\S+", text)]
-    for k in range(len(begins) - words + 1):
-        pattern = text[begins[k] : ends[k + words - 1]]
-        low = begins[k] + shift - edits
-        region = (" " * -low if low < 0 else "") + body[max(low, 0) : begins[k] + shift + len(pattern) + edits + 1]
-        if banded_distance(pattern, region, edits) <= edits:
-            return True
-    return False
-
-
-def find(texts: list[str], items: Items) -> list[tuple[int, int]]:
-    """(text, item) for each text that holds a passage of an item."""
-    out: list[tuple[int, int]] = []
-    joined = "\n".join(texts) + "\n" * (Q + 1)
-    codes = _codes(joined)
-    starts = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1].astype(np.int64)
-    at = _anchors(codes)
-    if not len(at) or not len(items.grams):
-        return out
-    grams = _grams(codes, at)
-    hit = items.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
-    at, grams = at[hit], grams[hit]
+
+
+def distances(doc: np.ndarray, first: np.ndarray, pattern: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, most: int) -> np.ndarray:
+    """Fewest edits that turn pattern[begin : begin + size] into a part of doc whose diagonals lie among the `width` from
+    `first` (place in doc of the pattern's begin) on; most + 1 if more. All passages at once, one row of the band after the other."""
+    out = np.full(len(begin), most + 1, dtype=np.int8)
+    band = np.arange(width)
+    for low in range(0, len(begin), CHUNK_WINDOWS):
+        part = slice(low, low + CHUNK_WINDOWS)
+        f, b, n = first[part], begin[part], size[part]
+        row = np.zeros((len(b), width), dtype=np.int8)
+        for i in range(int(n.max(initial=0))):
+            on = n > i
+            there = pattern[np.where(on, b + i, 0)]
+            here = doc[np.clip(f[:, None] + i + band, 0, len(doc) - 1)]
+            new = row + (here != there[:, None])
+            np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+            for d in range(1, width):
+                np.minimum(new[:, d], new[:, d - 1] + 1, out=new[:, d])
+            row = np.where(on[:, None], np.minimum(new, most + 1), row).astype(np.int8)
+        out[part] = row.min(axis=1)
+    return out
+
+
+def find(texts: list[str], items: Items) -> list[tuple[int, int, int]]:
+    """(text, item, edits) for each text that holds a passage of an item; texts are plain ones."""
+    if not len(items.grams) or not texts:
+        return []
+    edits, many = items.edits, len(items.keys)
+    codes = _codes(items.gap.join(["", *texts, ""]))
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.cumsum(sizes + len(items.gap)) - sizes
+    grams = _grams(codes, items.q)
+    at = np.flatnonzero(items.filter[(grams >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+    grams = grams[at]
     place = np.minimum(np.searchsorted(items.grams, grams), len(items.grams) - 1)
     hit = items.grams[place] == grams
     at, place = at[hit], place[hit]
-    if not len(at):
-        return out
     runs = items.runs[place]
-    there = items.at[_span(items.first[place], runs)]
+    ends = np.cumsum(runs)
+    there = items.at[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - runs - items.first[place], runs)]
     here = np.repeat(at, runs)
-    doc = np.searchsorted(starts, here, side="right") - 1
+    doc = np.maximum(np.searchsorted(starts - 1, here, side="right") - 1, 0)
     item = np.searchsorted(items.starts, there, side="right") - 1
-    shift = (here - starts[doc]) - (there - items.starts[item])
-    # overlapping bands of diagonals, so that a passage shifted by its edits lies in one of them
-    bands = [shift] if not items.edits else [shift // (items.edits + 1), shift // (items.edits + 1) + 1]
-    rows = np.concatenate([np.stack([doc, item, b], axis=1) for b in bands])
-    kept, counts = np.unique(rows, axis=0, return_counts=True)
-    seen = set()
-    for d, i, band in kept[counts >= items.least]:
-        if (d, i) in seen:
-            continue
-        a = codes[starts[d] : starts[d] + len(texts[d])]
-        b = items.codes[items.starts[i] : items.starts[i] + len(items.texts[i])]
-        own = [band] if not items.edits else np.unique(shift[(doc == d) & (item == i) & ((shift // (items.edits + 1) == band) | (shift // (items.edits + 1) + 1 == band))])
-        if any(_equal_words(a, b, int(s), items.words) if not items.edits else _aligned(a, b, int(s), items.words, items.edits) for s in own):
-            seen.add((d, i))
-            out.append((int(d), int(i)))
-    return out
-
-
-def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 12, edits: int = 0) -> DataFrame:
-    """(doc_id, item_id): documents that hold at least `words` consecutive words of an item, up to `edits` edited characters.
-
-    Texts are compared as their words (letters and digits) in lower case with single spaces. Q-grams that begin
-    at word starts are looked up among those of the items; hits are counted by band of diagonals (document position
-    minus item position, the bands overlapping by half). By the q-gram lemma a passage keeps at least
-    words - q/2 - edits * (q/2 + 1) hits in one band, so bands with fewer are dropped and the others verified by
-    alignment within the band. The items are the query set and are held by each task, BLOCK_ITEMS of them at a time:
-    a larger set takes several passes over the documents, whose rows are never shuffled before the final distinct.
+    inside = there - items.starts[item]
+    # blocks of diagonals as wide as a passage with its edits can be; two neighbours are one of the overlapping bands
+    block = (here - inside + (1 << 22)) // (edits + 1)
+    key = (doc * many + item) << DIAGONAL_BITS | block
+    order = np.argsort(key, kind="stable")
+    key, inside = key[order], inside[order]
+    kept, begin, count = np.unique(key, return_index=True, return_counts=True)
+    follows = np.zeros(len(kept), dtype=bool)
+    follows[:-1] = kept[1:] == kept[:-1] + 1
+    both = count + np.where(follows, np.append(count[1:], 0), 0)
+    pair = kept >> DIAGONAL_BITS
+    rows: list[tuple[np.ndarray, ...]] = []
+    for k in np.flatnonzero(both >= items.least[pair % many]):
+        i = int(pair[k] % many)
+        step, need = items.steps[i]
+        first, last = items.windows[i]
+        # what the band shares with each passage of the item, by the places of the q-grams in it
+        shared = np.zeros(int(last[-1]) // step + 2, dtype=np.int64)
+        shared[inside[begin[k] : begin[k] + both[k]] // step + 1] = 1
+        upto = np.cumsum(shared)
+        left = upto[(last - items.q) // step + 1] - upto[(first - 1) // step + 1] - need
+        own = np.flatnonzero(left >= 0)
+        diagonal = (int(kept[k]) & (1 << DIAGONAL_BITS) - 1) * (edits + 1) - (1 << 22) - edits
+        rows.append((np.full(len(own), pair[k]), diagonal + first[own], items.starts[i] + first[own], (last - first)[own], left[own]))
+    if not rows:
+        return []
+    pair, first, begin, size, left = (np.concatenate(c) for c in zip(*rows, strict=True))
+    width, best = 4 * edits + 2, {}
+
+    def align(some: np.ndarray) -> None:
+        for p, d in zip(pair[some].tolist(), distances(codes, first[some], items.codes, begin[some], size[some], width, edits).tolist(), strict=True):
+            if d <= edits:
+                best[p] = min(best.get(p, d), d)
+
+    # the passage of which most is left often settles it; the others of a pair follow where it does not
+    order = np.lexsort((-left, pair))
+    top = order[np.concatenate([[True], pair[order][1:] != pair[order][:-1]])] if len(order) else order
+    align(top)
+    rest = np.ones(len(pair), dtype=bool)
+    rest[top] = False
+    done = np.array([p for p, d in best.items() if d == 0], dtype=np.int64)
+    align(np.flatnonzero(rest & ~np.isin(pair, done)))
+    return [(p // many, p % many, d) for p, d in sorted(best.items())]
+
+
+def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 12, edits: int = 2) -> DataFrame:
+    """(doc_id, item_id, edits): documents that hold `words` consecutive words of an item but for at most `edits` characters
+    that were inserted, deleted or replaced, and the fewest such edits of any such passage (0: word for word).
+
+    Texts are compared as their words (letters and digits) in lower case with single spaces, the spaces around a passage
+    included. The q-grams of all places of a document are looked up among those of the items, taken at steps; hits are
+    counted by diagonal (document position minus item position) in overlapping bands. By the q-gram lemma a passage
+    keeps all but ceil(q / step) of its q-grams for each edit, within edits + 1 diagonals: bands that hold fewer hits than
+    the item's weakest passage keeps are dropped, and of the others the passages with fewer. What remains is
+    aligned in its band. No passage within the budget is lost. The items are the query set and are held by each task, BLOCK_ITEMS or
+    BLOCK_CHARS of them at a time: a larger set takes several passes over the documents, whose rows are never shuffled
+    before the final grouping.
 
     Null texts and ids and items of fewer than `words` words give no rows; repeated rows count once; empty tables
     give an empty result; other columns are not touched.
     """
-    src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null").where(F.length("t") >= 2 * words - 1 - edits)
+    src = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null").where(F.length("t") >= max(2 * words - 1 - edits, 1))
     asked = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
-    schema = T.StructType([T.StructField(doc_id, src.schema["d"].dataType), T.StructField(item_id, asked.schema["i"].dataType)])
+    schema = T.StructType([T.StructField("d", src.schema["d"].dataType), T.StructField("i", asked.schema["i"].dataType), T.StructField("e", T.IntegerType())])
     out = None
     block: list[tuple[object, str]] = []
 
     def passed(part: list[tuple[object, str]]) -> DataFrame:
         held = src.sparkSession.sparkContext.broadcast(Items(part, words, edits))
-        item_type = schema[item_id].dataType
+        item_type = schema["i"].dataType
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark.sql.pandas.types import to_arrow_type
@@ -220,16 +212,22 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
                         high += 1
                     found = find(chunk, own)
                     if found:
-                        yield pa.record_batch([b.column(0).take(pa.array([low + d for d, _ in found])), pa.array([own.keys[i] for _, i in found], kind)], names=[doc_id, item_id])
+                        yield pa.record_batch([b.column(0).take(pa.array([low + d for d, _, _ in found])), pa.array([own.keys[i] for _, i, _ in found], kind), pa.array([e for _, _, e in found], pa.int32())], names=["d", "i", "e"])
                     low = high
 
         return src.mapInArrow(run, schema)
 
+    def add(part: list[tuple[object, str]]) -> None:
+        nonlocal out
+        out = passed(part) if out is None else out.unionByName(passed(part))
+
+    chars = 0
     for row in asked.toLocalIterator():
         block.append((row.i, row.t))
-        if len(block) == BLOCK_ITEMS:
-            out = passed(block) if out is None else out.unionByName(passed(block))
-            block = []
+        chars += len(row.t)
+        if len(block) == BLOCK_ITEMS or chars >= BLOCK_CHARS:
+            add(block)
+            block, chars = [], 0
     if block or out is None:
-        out = passed(block) if out is None else out.unionByName(passed(block))
-    return out.distinct()
+        add(block)
+    return out.groupBy("d", "i").agg(F.min("e").alias("edits")).select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "edits")

@@ -86,11 +86,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["p9_found"] = p9_found
 
 
+def p7_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 words of an item but for at most two edited characters."""
+    return leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text", 12, 2)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text", 12)
+    """Of these, the ones that hold them word for word."""
+    return p7_edited(spark, sf_dir).where("edits = 0").select("doc_id", "item_id")
 
 
 QUERIES["p7_found"] = p7_found
+QUERIES["p7_edited"] = p7_edited
 _SHINGLES = "select {0}, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda k: array_to_string(w[k:k + 11], ' '))) as s from (select {0}, regexp_extract_all(lower(text), '[\\pL\\pN]+') as w from {1} where text is not null) where len(w) >= 12"
 ORACLE["p7_found"] = f"""
 with d as ({_SHINGLES.format("doc_id", "documents")}), i as ({_SHINGLES.format("item_id", "eval_items")})
