@@ -40,63 +40,83 @@ def _hash(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def leaf_containers(markup: str) -> tuple[list[str], list[str]]:
-    """The signature (tags and attributes) of the elements around each block element, in document order, and their texts."""
-    markup = SKIPPED.sub("", markup)
-    stack: list[tuple[str, str]] = []
-    signatures, texts = [], []
-    leaf, begin = None, 0
-
-    def close(end: int) -> None:
-        nonlocal leaf
-        texts.append(markup[begin:end])
-        leaf = None
-
-    for m in TAG.finditer(markup):
-        shut, tag, rest = m[1], m[2].lower(), m[3]
+class Tree:
+    """The block elements of a page in document order, with their texts and the containers around them."""
+
+    def __init__(self, markup: str):
+        markup = SKIPPED.sub("", markup)
+        self.tags: list[str] = []  # of the containers, by number; an inner one has a larger number than the outer
+        self.parents: list[int] = []
+        self.texts: list[str] = []
+        self.inside: list[int] = []  # of each leaf, its innermost container, -1 for none
+        self.signatures: list[str] = []  # of each leaf, tags and attributes of the containers around it
+        stack: list[tuple[str, str, int]] = []
+        leaf, begin = None, 0
+        for m in TAG.finditer(markup):
+            shut, tag, rest = m[1], m[2].lower(), m[3]
+            if leaf is not None:
+                ends = tag == leaf and shut
+                begins = tag in LEAVES and not shut and (tag == leaf or leaf not in HOLDERS)
+                if not ends and not begins and not (shut and (tag in GROUPS or any(tag == t for t, _, _ in stack))):
+                    continue
+                self.texts.append(markup[begin : m.start()])  # an unclosed block ends where the next begins, or with what it stands in
+                leaf = None
+                if ends:
+                    continue
+            if shut:
+                names = [t for t, _, _ in stack]
+                if tag in names:
+                    del stack[len(names) - 1 - names[::-1].index(tag) :]
+            elif tag in LEAVES:
+                leaf, begin = tag, m.end()
+                self.signatures.append(">".join(s for _, s, _ in stack))
+                self.inside.append(stack[-1][2] if stack else -1)
+            elif tag not in VOID and not rest.endswith("/") and tag not in NEUTRAL:
+                self.parents.append(stack[-1][2] if stack else -1)
+                stack.append((tag, " ".join([tag, *sorted(rest.split())]), len(self.tags)))
+                self.tags.append(tag)
         if leaf is not None:
-            if tag == leaf and shut:
-                close(m.start())
-                continue
-            begins = tag in LEAVES and not shut and (tag == leaf or leaf not in HOLDERS)
-            if not begins and not (shut and (tag in GROUPS or any(tag == t for t, _ in stack))):
-                continue
-            close(m.start())  # an unclosed block ends where the next begins, or with what it stands in
-        if shut:
-            names = [t for t, _ in stack]
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
-        elif tag in LEAVES:
-            leaf, begin = tag, m.end()
-            signatures.append(">".join(s for _, s in stack))
-        elif tag not in VOID and not rest.endswith("/") and tag not in NEUTRAL:
-            stack.append((tag, " ".join([tag, *sorted(rest.split())])))
-    if leaf is not None:
-        close(len(markup))
-    return signatures, texts
+            self.texts.append(markup[begin:])
+
+    def places(self, blocks: list[dict]) -> list[int | None]:
+        """The leaf of each block, None where the markup does not tell."""
+        if len(self.texts) == len(blocks):
+            return list(range(len(blocks)))
+        plain = [letters(html.unescape(TAG.sub("", t))) for t in self.texts]
+        out, at = [], 0
+        for b in blocks:
+            own = letters(block_text(b))
+            k = next((k for k in range(at, len(plain)) if plain[k] == own), None) if own else None
+            out.append(k)
+            at = at if k is None else k + 1
+        return out
+
+    def subtrees(self, leaves: dict[int, list[int]]) -> list[int]:
+        """The hash of each container's subtree: its tag and, bottom up, the hashes of what it holds. leaves: the hashes of each leaf."""
+        parts: list[list[str]] = [[t] for t in self.tags]
+        for k, c in enumerate(self.inside):
+            if c >= 0:
+                parts[c] += map(str, leaves.get(k, ()))
+        out = [0] * len(parts)
+        for c in range(len(parts) - 1, -1, -1):
+            out[c] = _hash("subtree", *parts[c])
+            if self.parents[c] >= 0:
+                parts[self.parents[c]].append(str(out[c]))
+        return out
+
+    def around(self, leaf: int) -> list[int]:
+        """The containers around a leaf."""
+        out, c = [], self.inside[leaf]
+        while c >= 0:
+            out.append(c)
+            c = self.parents[c]
+        return out
 
 
 def letters(text: str) -> str:
     return LETTERS.sub("", text.lower())
 
 
-def aligned(blocks: list[dict], markup: str | None) -> list[str | None]:
-    """The container signature of each block, None where the markup does not tell."""
-    if not markup:
-        return [None] * len(blocks)
-    signatures, texts = leaf_containers(markup)
-    if len(signatures) == len(blocks):
-        return list(signatures)
-    plain = [letters(html.unescape(TAG.sub("", t))) for t in texts]
-    out, at = [], 0
-    for b in blocks:
-        own = letters(block_text(b))
-        k = next((k for k in range(at, len(plain)) if plain[k] == own), None) if own else None
-        out.append(None if k is None else signatures[k])
-        at = at if k is None else k + 1
-    return out
-
-
 def block_text(b: dict) -> str:
     return " ".join([b["text"] or "", *[c or "" for c in b["cells"] or []]])
 
@@ -114,36 +134,43 @@ def describe(block: dict, brand: str) -> tuple[list[int], bool, bool]:
 
 
 def block_features(pages: DataFrame, page_id: str, site: Column, blocks: str, markup: str) -> DataFrame:
-    """One row a line of a block: page_id, src, pos, sig (0: unknown), line (null: the block has none), link, trail."""
+    """One row a line of a block: page_id, src, pos, sig (0: unknown), trees (hashes of the subtrees around it), line (null: the
+    block has none), link, trail. A line's hash, of its block's kind and its letters, is the hash of a leaf's subtree."""
     src = pages.select(F.col(page_id).cast("string").alias("page_id"), site.alias("site"), F.transform(F.col(blocks), lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["cells"].alias("cells"), F.transform(b["anchors"], lambda a: F.struct(a["label"].alias("label"))).alias("anchors"))).alias("blocks"), F.col(markup).alias("markup"))
     src = src.where("page_id is not null and site is not null and size(blocks) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
-            ids, src_, pos, sig, line, link, trail = [], [], [], [], [], [], []
+            ids, src_, pos, sig, trees, line, link, trail = [], [], [], [], [], [], [], []
             for page, host, blks, markup in zip(*[b.column(k).to_pylist() for k in range(4)], strict=True):
                 labels = host.split(".")
                 brand = letters(labels[-2] if len(labels) > 1 else host)
                 host_key = _hash(host)
                 blks = [x or {"kind": None, "text": None, "cells": None, "anchors": None} for x in blks]
-                for k, (blk, s) in enumerate(zip(blks, aligned(blks, markup), strict=True)):
+                described = [describe(x, brand) for x in blks]
+                tree = Tree(markup) if markup else None
+                places = tree.places(blks) if tree else [None] * len(blks)
+                subtrees = tree.subtrees({p: d[0] or [_hash(x["kind"] or "", letters(block_text(x)))] for p, d, x in zip(places, described, blks, strict=True) if p is not None}) if tree else []
+                for k, (blk, p, (own, is_link, is_trail)) in enumerate(zip(blks, places, described, strict=True)):
+                    s = None if p is None else tree.signatures[p]
                     if s is not None and s not in names:
                         if len(names) > 100_000:
                             names.clear()
                         names[s] = _hash("container", s) or 1
-                    own, is_link, is_trail = describe(blk, brand)
+                    around = [] if p is None else [subtrees[c] for c in tree.around(p)]
                     for h in own or ([None] if s is not None and block_text(blk).strip() else []):
                         ids.append(page)
                         src_.append(host_key)
                         pos.append(k)
                         sig.append(0 if s is None else names[s])
+                        trees.append(around)
                         line.append(h)
                         link.append(is_link)
                         trail.append(is_trail)
-            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(src_, pa.int64()), pa.array(pos, pa.int32()), pa.array(sig, pa.int64()), pa.array(line, pa.int64()), pa.array(link, pa.bool_()), pa.array(trail, pa.bool_())], names=["page_id", "src", "pos", "sig", "line", "link", "trail"])
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(src_, pa.int64()), pa.array(pos, pa.int32()), pa.array(sig, pa.int64()), pa.array(trees, pa.list_(pa.int64())), pa.array(line, pa.int64()), pa.array(link, pa.bool_()), pa.array(trail, pa.bool_())], names=["page_id", "src", "pos", "sig", "trees", "line", "link", "trail"])
 
-    return src.mapInArrow(run, "page_id string, src long, pos int, sig long, line long, link boolean, trail boolean")
+    return src.mapInArrow(run, "page_id string, src long, pos int, sig long, trees array<long>, line long, link boolean, trail boolean")
 
 
 def _held(df: DataFrame, tag: str) -> DataFrame:
@@ -154,10 +181,13 @@ def _held(df: DataFrame, tag: str) -> DataFrame:
 def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup: str) -> DataFrame:
     """(page_id, block_pos) of the blocks that are furniture of their site.
 
-    The markup gives each block the elements around it. Lines (letters only, without the site's name) are hashed and
-    counted per host; a container, by its tags and attributes, is furniture of a host when at least half of
-    the lines in it recur on RECURS pages of the host, are links altogether, or are a trail from the home page. Such
-    subtrees are deleted with all blocks in them that have text, recurring or not (as the items of a related-links box).
+    Element subtrees are hashed bottom up (a leaf by its letters without the site's name, a container by its tag and the
+    hashes of what it holds) and counted per host by pages. A container whose subtree recurs on RECURS pages of the host is
+    deleted with all in it. Few containers recur as a whole, as their items vary; so each is also judged, by its tags and
+    attributes, over all pages of the host: it is furniture when at least half of the leaves in it recur on RECURS pages, are
+    links altogether, or are a trail from the home page, and goes with all blocks that have text, recurring or not (as the
+    items of a related-links box). A container that is body by that rule stays even where its subtree recurs, as the body of a page
+    that a site shows at several addresses.
     A host with fewer than OWN_LINES lines in a container goes by that container's share over all hosts.
     Blocks whose page has no markup, or whose markup does not match, are furniture when all their lines stand at least as often as not in
     deleted containers of the host, or of at least HOSTS hosts, when they are a trail, or when they are links altogether
@@ -169,6 +199,8 @@ def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup:
     """
     rows = materialize(block_features(pages, page_id, site, blocks, markup), "furniture")
     recurring = rows.where("line is not null").select("src", "line", "page_id").distinct().groupBy("src", "line").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("src", "line", F.lit(True).alias("again"))
+    whole = rows.select("src", "page_id", F.explode(F.array_distinct("trees")).alias("tree")).distinct().groupBy("src", "tree").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS).select("src", "tree")
+    whole = _held(whole, "subtrees")
     marked = rows.where("line is not null or sig <> 0").join(_held(recurring, "recurring"), ["src", "line"], "left")
     sign = F.coalesce("again", F.lit(False)) | F.col("link") | F.col("trail")
     own = marked.where("sig <> 0").groupBy("src", "sig").agg(F.count("*").alias("n"), F.sum(sign.cast("int")).alias("y"))
@@ -178,6 +210,8 @@ def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup:
     judged = _held(own.join(every, "sig").select("src", "sig", (share >= SHARE).alias("out"), ((F.col("n_all") >= LEAST_LINES) | ((F.col("n_all") >= RECURS) & (F.col("y_all") == F.col("n_all")))).alias("sure")), "judged")
     told = rows.join(judged, ["src", "sig"], "left")
     by_container = told.where("sig <> 0 and sure and out").select("page_id", "pos")
+    open_ = told.where("sig <> 0 and not sure").select("page_id", "src", "pos", F.explode("trees").alias("tree"))
+    by_subtree = open_.join(whole, ["src", "tree"], "left_semi").select("page_id", "pos")
 
     known = told.where("line is not null and sig <> 0 and sure").groupBy("src", "line").agg(F.count("*").alias("n"), F.sum(F.col("out").cast("int")).alias("y"))
     known = materialize(known, "lines")
@@ -196,7 +230,7 @@ def furniture(pages: DataFrame, page_id: str, site: Column, blocks: str, markup:
     page = page.withColumn("b", F.transform("b", lambda x: F.struct(x["pos"].alias("pos"), (x["sure"] | in_run(x)).alias("sure"), x["link"].alias("link"))))
     walk = lambda a: F.aggregate(a, F.struct(F.array().cast("array<int>").alias("found"), F.lit(-2).alias("last")), lambda s, x: F.when(x["sure"] | (x["link"] & (F.abs(x["pos"] - s["last"]) == 1)), F.struct(F.array_append(s["found"], x["pos"]).alias("found"), x["pos"].alias("last"))).otherwise(s))["found"]
     by_text = page.select("page_id", F.explode(F.array_union(walk(F.col("b")), walk(F.reverse("b")))).alias("pos"))
-    return by_container.unionByName(by_text).distinct().select(F.col("page_id").alias(page_id), F.col("pos").alias("block_pos"))
+    return by_container.unionByName(by_subtree).unionByName(by_text).distinct().select(F.col("page_id").alias(page_id), F.col("pos").alias("block_pos"))
 
 
 def main_blocks(pages: DataFrame, page_id: str, site: Column, blocks: str, markup: str) -> DataFrame:

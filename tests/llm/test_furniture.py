@@ -1,7 +1,7 @@
 import random
 
 from corpusmill.functions.sites import site
-from corpusmill.llm.furniture import aligned, furniture, leaf_containers, main_blocks
+from corpusmill.llm.furniture import Tree, furniture, main_blocks
 
 SCHEMA = "page_id string, origin string, blocks array<struct<kind:string,text:string,cells:array<string>,anchors:array<struct<label:string,href:string>>>>, content_html string, pos string, src int"
 TAGS = {"heading": "h2", "paragraph": "p", "listItem": "li", "code": "pre"}
@@ -58,8 +58,28 @@ def test_empty(spark):
 
 def test_markup_reading():
     html = '<!-- <p>no</p> --><body><nav id="a"><ul><li><a href="/">One</a><li>Two</ul></nav><br><main><p>Three &amp; four<h2>Five</h2><blockquote><p>Six</p></blockquote></main><script>"<p>"</script></body>'
-    signatures, texts = leaf_containers(html)
-    assert signatures == ['nav id="a"', 'nav id="a"', "main", "main", "main"][: len(signatures)]
+    tree = Tree(html)
+    assert tree.signatures == ['nav id="a"', 'nav id="a"', "main", "main", "main"][: len(tree.signatures)]
     blocks = [{"text": t, "cells": None} for t in ("Two", "Three & four", "gone", "Five")]
-    assert aligned(blocks, html)[1:] == ["main", None, "main"]
-    assert leaf_containers("</div><p>") == ([""], [""])
+    assert [None if p is None else tree.signatures[p] for p in tree.places(blocks)][1:] == ["main", None, "main"]
+    assert (Tree("</div><p>").signatures, Tree("</div><p>").texts) == ([""], [""])
+
+
+def test_subtree_hashes():
+    tree = Tree("<div><nav><p>a</p><p>b</p></nav><section><nav><p>a</p><p>b</p></nav></section><nav><p>b</p><p>a</p></nav></div>")
+    hashes = tree.subtrees({k: [ord(t)] for k, t in enumerate(tree.texts)})
+    assert tree.tags == ["div", "nav", "section", "nav", "nav"] and tree.parents == [-1, 0, 0, 2, 0]
+    assert hashes[1] == hashes[3] != hashes[4] and len(set(hashes)) == 4
+    assert [tree.tags[c] for c in tree.around(2)] == ["nav", "section", "div"]
+
+
+def test_a_rare_container_goes_by_its_recurring_subtree(spark):
+    """A box on three pages, too rare to be judged by its lines, recurs as a whole; so does one with other text only in part."""
+    rng, rows = random.Random(9), []
+    for k in range(12):
+        box = [block("paragraph", "Winter office hours"), block("paragraph", "Ring the side bell")] if k < 3 else [block("paragraph", words(rng, 4)), block("paragraph", words(rng, 4))] if k < 5 else []
+        body = [block("paragraph", words(rng, 20) + ".") for _ in range(4)]
+        html = "<main>" + "".join(f"<p>{b[1]}</p>" for b in body) + "</main>" + (f'<aside class="{k > 2}">' + "".join(f"<p>{b[1]}</p>" for b in box) + "</aside>" if box else "")
+        rows.append((f"p{k:02}", "one.example", body + box, html, "", 0))
+    got = {tuple(r) for r in furniture(spark.createDataFrame(rows, SCHEMA), "page_id", site("origin"), "blocks", "content_html").collect()}
+    assert got == {(f"p{k:02}", n) for k in range(3) for n in (4, 5)}
