@@ -34,7 +34,7 @@ HOT_BUCKET, BLOCK = 64, 4096
 #: Rows of one or two longs that may be broadcast: some 16 MB as a hashed relation.
 BROADCAST_ROWS = 200_000
 #: Segments a record is dealt to at once, on average (about a third of them carry enough to join); the rest follows in further passes, whose disk is freed in between.
-PASS_SEGMENTS = 80
+PASS_SEGMENTS = 120
 #: However few records there are, so many segments fit into one pass; and there are never more passes than this.
 PASS_LEAST, MOST_PASSES = 4_000_000, 24
 #: Edits may fall on rare words more often than on others.
@@ -311,7 +311,9 @@ def _dense_pairs(hot: DataFrame, made: DataFrame, least: float) -> DataFrame:
     """
     blocks = F.ceil(F.col("d") / BLOCK).cast("int")
     dealt = hot.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("content", F.lit(1)), F.col("blocks")).cast("int"))
-    held = dealt.join(made.select("content", "n", "sketch").dropDuplicates(["content"]), "content")
+    need = materialize(dealt.select("content").distinct(), "hot")
+    sketches = made.select("content", "n", "sketch").join(F.broadcast(need) if small_enough(need, BROADCAST_ROWS) else need, "content", "left_semi")
+    held = dealt.join(sketches.dropDuplicates(["content"]), "content")
     met = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("seg", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "content", "n", "sketch")
     return met.groupBy("seg", "i", "j").applyInArrow(_within_bounds(least), "a long, b long")
@@ -390,7 +392,7 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
         bits[k] = np.log2(max(n, 2)) + MORE_BITS
     made = src.mapInArrow(_records(kinds, known_words, bits, least), "kind string, key string, content long, n int, tokens array<int>, quarters array<byte>, sketch array<long>, counts array<int>")
     made = materialize(made, "sketches")
-    members = made.select("kind", "key", "content").distinct()
+    members = materialize(made.select("kind", "key", "content").distinct(), "members")
     counts = {r.c: r.n for r in made.select(F.explode("counts").alias("c")).groupBy("c").agg(F.count("*").alias("n")).collect()}
     found = [_pass_pairs(made, bits, least, low, high) for low, high in passes(counts, max(PASS_SEGMENTS * sum(total.values()), PASS_LEAST, sum(c * n for c, n in counts.items()) / MOST_PASSES))]
     pairs = found[0] if found else made.select(F.col("content").alias("a"), F.col("content").alias("b")).where("false")
@@ -402,11 +404,12 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
 
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
     wanted = materialize(made.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "content", "left_semi").select("content", "kind", "n", "sketch", "tokens").dropDuplicates(["content"]), "wanted")
+    discard(made)
     side = lambda c: wanted.select(F.col("content").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     most = F.greatest("n_a", "n_b")
     need = F.ceil(F.lit(least) * most - 1e-9)
     apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= need).where(apart <= F.col("n_a") + F.col("n_b") - 2 * need).select("a", "b", "n_a", "n_b")
+    near = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= need).where(apart <= F.col("n_a") + F.col("n_b") - 2 * need).select("a", "b", "n_a", "n_b"), "near")
     full = lambda c: wanted.select(F.col("content").alias(c), F.col("tokens").alias(f"t_{c}"), *([F.col("kind")] if c == "a" else []))
     common = F.size(F.array_intersect("t_a", "t_b"))
     links = near.join(full("a"), "a").join(full("b"), "b").withColumn("similarity", common / most).where(common >= need).select("kind", "a", "b", "similarity")
