@@ -59,6 +59,8 @@ TEMPLATE_PAGES, TEMPLATE_SITES, FAILED_SHARE, SHORT = 3, 2, 0.2, 60
 #: Rows of a long or a short name that may be broadcast: some 10 MB.
 BROADCAST_ROWS = 100_000
 WORDS = r"[\p{L}\p{N}]+"
+#: A text of more words than NOTICE_WORDS may speak of errors, but does not say that there is one.
+SHORT_TEXT = rf"^[^\p{{L}}\p{{N}}]*(?:[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*){{0,{NOTICE_WORDS}}}+$"
 
 
 def _letters(c: Column) -> Column:
@@ -129,7 +131,7 @@ def residue(pages: DataFrame, page_id: str, site: Column, blocks: str, status: s
         F.flatten(F.transform("texts", sure)).alias("names"), F.flatten(F.transform("texts", likely)).alias("likely"),
         F.coalesce((F.expr("try_cast(trim(status) as double)") >= 400) | (F.length(F.trim("failure")) > 0), F.lit(False)).alias("failed"),
         F.when((size <= NOTICE_CHARS) & ~has_code, F.trim(_text(F.array_join("texts", " \n ")))).alias("message"),
-        F.transform("texts", lambda t: F.struct(F.xxhash64(masked(t)).alias("h"), F.regexp_count(t, F.lit(WORDS)).alias("words"), t.rlike(STRONG_NOTICE).alias("says"))).alias("texts"),
+        F.transform("texts", lambda t: F.struct(F.xxhash64(masked(t)).alias("h"), F.regexp_count(t, F.lit(WORDS)).alias("words"), (t.rlike(SHORT_TEXT) & t.rlike(STRONG_NOTICE)).alias("says"))).alias("texts"),
     )
     flags = flags.withColumn("message", F.when((F.length("message") > 0) & (F.regexp_count("message", F.lit(WORDS)) <= NOTICE_WORDS), F.col("message")))
     flags = materialize(flags, "residue")
