@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import ids, text
 from corpusmill.operators.retrieve import dense_top_k
-from corpusmill.operators.sections import token_windows
+from corpusmill.operators.sections import window_spans
 from corpusmill.session import small_enough
 
 #: Columns by which a manifest entry names a point, and by which a runtime manifest does.
@@ -43,17 +43,8 @@ def delete_rows(points: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFr
 
 
 def chunk_offsets(body: str, size: int = 200, overlap: int = 40) -> list[tuple[int, int, str]]:
-    """O27. (start, end, text) of a text's windows, found forward from half a window behind the last start."""
-    out, at = [], 0
-    for piece in token_windows(body, size, overlap):
-        start = body.find(piece, at)
-        if start < 0:
-            start = body.find(piece)
-        if start < 0:
-            raise ValueError("a window does not stand in its text")
-        out.append((start, start + len(piece), piece))
-        at = min(start + len(piece), start + max(1, len(piece) // 2))
-    return out
+    """O27. (start, end, text) of a text's windows."""
+    return [(a, b, body[a:b]) for a, b in window_spans(body, size, overlap)]
 
 
 def asset_chunks(assets: DataFrame, digest: str = "resource_digest", body: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,33 +48,41 @@ def page_sections(pages: DataFrame, page_id: str = "page_id", blocks: str = "blo
     return out.select(page_id, *keep, "section_index", "s.title", "s.level", "s.text", "s.anchors")
 
 
-def token_windows(text: str, size: int, overlap: int, spans: Spans = token_spans, limit: int = SEQUENCE_LIMIT, special: int = SPECIAL_TOKENS) -> list[str]:
-    """O23, O24. Windows of at most `size` tokens, measured on the window itself; starts advance by size - overlap."""
+def window_spans(text: str, size: int, overlap: int, spans: Spans = token_spans, limit: int = SEQUENCE_LIMIT, special: int = SPECIAL_TOKENS) -> list[tuple[int, int]]:
+    """O23, O24. (start, end) of windows of at most `size` tokens, measured on the window itself; starts advance by size - overlap tokens."""
     if size < 1 or not 0 <= overlap < size:
         raise ValueError("size must be positive and the overlap smaller")
     if 0 < limit < size + special:
         raise ValueError(f"{size} tokens do not fit a model limit of {limit} with {special} of its own")
-    text = (text or "").strip()
-    all_spans = spans(text)
-    out, start = [], 0
-    while start < len(all_spans):
-        end = min(start + size, len(all_spans))
-        piece = ""
-        while end > start:
-            piece = text[all_spans[start][0] : all_spans[end - 1][1]].strip()
-            if not piece or len(spans(piece)) <= size:
-                break
-            end, piece = end - 1, ""
-        if piece:
-            out.append(piece)
-        if end == start:  # nothing fits: one token on
-            end = start + 1
-        if end >= len(all_spans):
+    tokens = spans(text or "")
+
+    def widest(first: int) -> tuple[int, int] | None:
+        """The longest window from a token on that keeps the limit; a tokenizer may count more in it than it did in the text."""
+        for last in range(min(first + size, len(tokens)), first, -1):
+            piece = text[tokens[first][0] : tokens[last - 1][1]]
+            start = tokens[first][0] + len(piece) - len(piece.lstrip())
+            if piece.strip() and len(spans(piece.strip())) <= size:
+                return (start, start + len(piece.strip())), last
+            if not piece.strip():
+                return None, last
+        return None, first + 1
+
+    out = []
+    for first in range(0, len(tokens), size - overlap):
+        window, last = widest(first)
+        if window:
+            out.append(window)
+        if last >= len(tokens):
             break
-        start += size - overlap
     return out
 
 
+def token_windows(text: str, size: int, overlap: int, spans: Spans = token_spans, limit: int = SEQUENCE_LIMIT, special: int = SPECIAL_TOKENS) -> list[str]:
+    """The windows themselves."""
+    text = (text or "").strip()
+    return [text[a:b] for a, b in window_spans(text, size, overlap, spans, limit, special)]
+
+
 def units(sections_df: DataFrame, keys: tuple[str, ...] = ("page_id",), order: str = "section_index", parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD, spans: Spans = token_spans) -> DataFrame:
     """O25. Parents within sections and children within parents; parent_index and child_index count through each page.
 
@@ -101,6 +110,36 @@ def units(sections_df: DataFrame, keys: tuple[str, ...] = ("page_id",), order: s
     return rows.withColumn("parent_text", F.col("p.parent_text")).withColumnRenamed("title", "section_title").withColumnRenamed("anchors", "section_anchors").drop("_p", "_c", "p")
 
 
+def page_units(pages: DataFrame, keep: tuple[str, ...], page_id: str = "page_id", blocks: str = "blocks", parent: tuple[int, int] = PARENT, child: tuple[int, int] = CHILD, spans: Spans = token_spans) -> DataFrame:
+    """O22-O25 of whole pages: one row a parent (page_id, kept columns, section_index, section_title, section_anchors,
+    parent_index, parent_text, children). children: array of (child_index, text).
+
+    All sections of a page stand in its row, so parents and children are numbered where they are cut and nothing is
+    shuffled; Python gets the sections' texts only.
+    """
+    cut = "array<struct<section:int,parent_text:string,children:array<struct<child_index:int,text:string>>>>"
+
+    def numbered(texts) -> list[dict]:
+        found, n = [], 0
+        for section, text in enumerate(texts):
+            for p in token_windows(text or "", *parent, spans):
+                own = token_windows(p, *child, spans) or [p]
+                found.append({"section": section, "parent_text": p, "children": [{"child_index": n + k, "text": c} for k, c in enumerate(own)]})
+                n += len(own)
+        return found
+
+    @F.pandas_udf(cut)
+    def units_of(s: pd.Series) -> pd.Series:
+        return s.map(numbered)
+
+    held = pages.where(F.size(F.coalesce(F.col(blocks), F.array())) > 0).select(page_id, *keep, sections(blocks).alias("_s"))
+    # marked so, it is computed once, before its rows are made, and not drawn into them
+    held = held.withColumn("_u", units_of.asNondeterministic()(F.transform("_s", lambda s: s["text"])))
+    rows = held.select(page_id, *keep, "_s", F.posexplode("_u").alias("parent_index", "_p"))
+    own = F.get("_s", F.col("_p.section"))
+    return rows.select(page_id, *keep, F.col("_p.section").alias("section_index"), own["title"].alias("section_title"), own["anchors"].alias("section_anchors"), "parent_index", F.col("_p.parent_text").alias("parent_text"), F.col("_p.children").alias("children"))
+
+
 def embed_batches(texts: list[str], most_items: int, most_tokens: int, spans: Spans = token_spans) -> list[list[str]]:
     """O28. Texts in order, cut into batches before either limit would be passed; a text over the limit is an error."""
     out: list[list[str]] = []
@@ -130,6 +169,8 @@ def batched(df: DataFrame, ident: str, text: str, most_items: int = 64, most_tok
             numbers = []
             for t in b.column(1).to_pylist():
                 n = len(token_spans(t or ""))
+                if n > most_tokens:
+                    raise ValueError("a text has more tokens than a batch may have")
                 if items and (items >= most_items or tokens + n > most_tokens):
                     batch, items, tokens = batch + 1, 0, 0
                 items, tokens = items + 1, tokens + n
