@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import classify, generators, ids, text
 
+BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 READINESS = ["headingHierarchy", "answerFirst", "faq", "schema", "factDensity", "eeat", "technicalCrawlabilityPerformance"]
 #: What to do about a dimension. Fixed values.
 FIXES = {
@@ -32,6 +33,8 @@ OPPORTUNITIES = {
     "callsToAction": "Provide a clear next action aligned with the page purpose.",
 }
 EVIDENCE = "array<struct<evidence_id:string,source_id:string,quote:string,start_char:int,end_char:int>>"
+#: Signs of authorship, dates, sources and experience. Fixed values; blanks are those of Unicode.
+TRUST = [rf"(?im)^(?:by|author:)[{BLANK}]+[^{BLANK}]+", r"\b(?:19|20)\d{2}\b", rf"(?im)^#{{1,6}}[{BLANK}]+(?:sources|references)\b", r"(?i)\b(?:we tested|our experience|case study)\b", r"(?i)\baccording to\b"]
 TEMPLATES = ["what is {}", "{} alternatives", "{} pricing"]
 
 
@@ -72,7 +75,7 @@ def fact_density(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = F.col("sentence").isNotNull()
     by = c.groupBy("source_id", "section", "section_id", "heading").agg(F.count_if(has).alias("sentences"), F.count_if(has & F.col("specific")).alias("facts"), F.count_if(F.col("status") == "supported").alias("supported"))
     by = by.withColumn("score", F.when(F.col("sentences") > 0, F.round((F.col("facts") + F.col("supported")) / (2 * F.col("sentences")) * 100, 1)))
-    whole = by.groupBy("source_id").agg(F.sum(F.coalesce("score", F.lit(0.0)) * F.col("sentences")).alias("w"), F.sum("sentences").alias("n"))
+    whole = by.groupBy("source_id").agg(F.sum(F.coalesce("score", F.lit(0.0)).cast("decimal(10,1)") * F.col("sentences")).cast("double").alias("w"), F.sum("sentences").alias("n"))
     return by, whole.select("source_id", F.when(F.col("n") > 0, F.round(F.col("w") / F.col("n"), 1)).alias("score"))
 
 
@@ -91,7 +94,7 @@ def readiness_dimensions(docs: DataFrame) -> DataFrame:
     faq = F.when(pairs >= 3, 100.0).when(pairs > 0, 70.0).when(F.col("partial"), None).otherwise(0.0)
     good = lambda j: F.coalesce((F.get_json_object(j, "$['@context']") == "https://schema.org") & (F.length(F.get_json_object(j, "$['@type']")) > 0), F.lit(False))
     schema = F.when(F.col("json_ld").isNull(), None).when((F.size("json_ld") > 0) & F.forall("json_ld", good), 100.0).otherwise(0.0)
-    signs = [r"(?im)^(?:by|author:)\s+\S+", r"\b(?:19|20)\d{2}\b", r"(?im)^#{1,6}\s+(?:sources|references)\b", r"(?i)\b(?:we tested|our experience|case study)\b", r"(?i)\baccording to\b"]
+    signs = TRUST
     trust = F.when(F.col("partial"), None).otherwise(sum((F.col("text").rlike(p).cast("int") for p in signs), F.lit(0)) * 20.0)
     t = F.col("technical")
     technical = F.when(t["crawlable"].isNull() | t["status_code"].isNull() | t["load_time_ms"].isNull(), None).otherwise(F.when(t["crawlable"], 40.0).otherwise(0.0) + F.when(t["status_code"].between(200, 299), 30.0).otherwise(0.0) + F.when(t["load_time_ms"] <= 2500, 30.0).when(t["load_time_ms"] <= 4000, 15.0).otherwise(0.0))

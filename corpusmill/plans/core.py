@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import classify, ids, language, text, tokens, urls
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.operators import index, ops, retrieve, sections, verify
-from corpusmill.plans import sql
+from corpusmill.plans import sql, unit_sql
 from corpusmill.plans.sql import PAGES
 from corpusmill.sources.tables import table
 
@@ -81,7 +81,7 @@ add(
     f"with u as (select unit_id, {sql.normalize('child_text')} as t, {sql.normalize('section_title')} as own from parent_child_units) select distinct unit_id, length(t) = 0 or (length(own) > 0 and t = own) or regexp_matches(t, {sql.q(text.TRAIL)}) or len(regexp_extract_all(t, {sql.q(text.STUB_WORD)})) < 8 as stub from u",
 )
 add("o23_token_counts", lambda s, d: table(s, d, "parent_child_units").select("unit_id", tokens.token_count(F.col("child_text")).alias("n")).distinct(), r"select distinct unit_id, len(regexp_extract_all(child_text, '[\pL\pN_]+|[^\pL\pN_\s\x1c-\x1f\x85\pZ]')) as n from parent_child_units")
-add("o06_language", per_document(lambda: language.language(F.col("text")).alias("detected")))
+add("o06_language", per_document(lambda: language.language(F.col("text")).alias("detected")), unit_sql.LANGUAGES)
 
 # --- sections and units
 
@@ -94,13 +94,10 @@ add(
     s as (select page_id, g, first(title order by pos) as title, first(level order by pos) as level, string_agg(t, chr(10) || chr(10) order by pos) filter (where length({sql.strip('t')}) > 0) as text from r group by page_id, g)
     select page_id, cast(row_number() over (partition by page_id order by g) - 1 as int) as section_index, title, level, text from s where text is not null""",
 )
-add("o22_section_anchors", lambda s, d: sections.page_sections(pages(s, d)).select("page_id", "section_index", F.explode("anchors").alias("a")).groupBy("page_id", "section_index").agg(F.count("*").alias("links"), F.count_if(F.length("a.label") > 0).alias("labelled")))
-add("o25_units", lambda s, d: sections.units(sections.page_sections(pages(s, d))).select("page_id", "section_index", "parent_index", "child_index", "section_title", "parent_text", "child_text"))
-add("p01_index_run", lambda s, d: index.index_run(table(s, d, "crawl_pages")).select("point_id", "run_id", "page_id", "chunk_role", "chunk_key", "category", "quality", "text_digest"))
-add(
-    "a02_index_counts",
-    lambda s, d: index.page_nodes(pages(s, d)).groupBy("run_id").agg(F.countDistinct("page_id").alias("pages_english"), F.count("*").alias("nodes"), F.countDistinct("text_digest").alias("texts")),
-)
+add("o22_section_anchors", lambda s, d: sections.page_sections(pages(s, d)).select("page_id", "section_index", F.explode("anchors").alias("a")).groupBy("page_id", "section_index").agg(F.count("*").alias("links"), F.count_if(F.length("a.label") > 0).alias("labelled")), unit_sql.SECTION_ANCHORS)
+add("o25_units", lambda s, d: sections.units(sections.page_sections(pages(s, d))).select("page_id", "section_index", "parent_index", "child_index", "section_title", "parent_text", "child_text"), unit_sql.UNITS_OF_PAGES)
+add("p01_index_run", lambda s, d: index.index_run(table(s, d, "crawl_pages")).select("point_id", "run_id", "page_id", "chunk_role", "chunk_key", "category", "quality", "text_digest"), unit_sql.INDEX_RUN)
+add("a02_index_counts", lambda s, d: index.index_counts(table(s, d, "crawl_pages")), unit_sql.INDEX_COUNTS)
 UNITS = "(select distinct unit_id, page_id, run_id, section_title, parent_index, child_index, parent_text, child_text from parent_child_units)"
 
 

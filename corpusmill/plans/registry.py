@@ -17,7 +17,7 @@ AS_INT = {"o23_token_counts": ["n"], "r01_dense_top_k": ["rank"], "r21_filtered_
 AS_BIGINT = {"a11_host_report": ["chars"], "a12_url_report": ["chars"], "a13_block_report": ["chars", "table_rows", "rows_lost"], "a16_gate_summary": ["errors"]}
 #: Instants are compared as microseconds, local times as text, so that no session time zone matters.
 INSTANTS = {"s12_latest_pages": ["arrived_at"], "j04_orphan_hits": ["newest"], "s12_upsert": ["arrived_at"]}
-LOCAL_TIMES = {"t03_lease_spans": ["held_from", "held_until"], "t06_latest_status": ["ts"]}
+LOCAL_TIMES = {"t03_lease_spans": ["held_from", "held_until"], "t03_lease_stream": ["held_from", "held_until"], "t06_latest_status": ["ts"]}
 
 
 def _recast(name: str, columns: list[str], form: str) -> None:

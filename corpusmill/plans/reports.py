@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import generators, ids, text
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.operators import assets, checks, ops, reports, retrieve, sections
-from corpusmill.plans import sql
+from corpusmill.plans import report_sql, sql, unit_sql
 from corpusmill.plans.core import _MARKED, pages
 from corpusmill.plans.sql import PAGES
 from corpusmill.sources.tables import table, upsert
@@ -44,9 +44,9 @@ def plain_docs(s: SparkSession, d: str) -> DataFrame:
 
 
 add("p12_readiness", lambda s, d: reports.readiness(docs(s, d)))
-add("p12_readiness_dimensions", lambda s, d: reports.readiness_dimensions(docs(s, d)))
-add("p13_claims", lambda s, d: reports.claims(docs(s, d)).select("source_id", "claim_id", "specific", "status"))
-add("p13_fact_density", lambda s, d: reports.fact_density(docs(s, d))[1])
+add("p12_readiness_dimensions", lambda s, d: reports.readiness_dimensions(docs(s, d)), report_sql.READINESS_DIMENSIONS)
+add("p13_claims", lambda s, d: reports.claims(docs(s, d)).select("source_id", "claim_id", "specific", "status"), report_sql.CLAIM_ROWS)
+add("p13_fact_density", lambda s, d: reports.fact_density(docs(s, d))[1], report_sql.FACT_DENSITY)
 _ONE = f"select doc_id as source_id, {_MARKED} as m, text from documents where length({sql.strip('text')}) > 0 and not regexp_matches(text, '(?m)^#{{1,6}}\\s+')"
 add(
     "a08_fact_share",
@@ -54,14 +54,14 @@ add(
     f"""with o as ({_ONE}), s as (select source_id, list_filter(list_transform(string_split(m, chr(1)), lambda t: regexp_replace(t, '^[ \\n\\-*]+|[ \\n\\-*]+$', '', 'g')), lambda t: length(t) >= 3) as l from o),
     c as (select source_id, len(l) as sentences, len(list_filter(l, lambda t: regexp_matches(t, {sql.q(text.SPECIFIC)}))) as facts from s) select source_id, sentences, facts, case when sentences > 0 then round(facts / (2 * sentences) * 100, 1) end as score from c""",
 )
-add("p14_entities", lambda s, d: reports.entities(docs(s, d)).select("source_id", "entity_id", "name", "mentions", "confidence"))
+add("p14_entities", lambda s, d: reports.entities(docs(s, d)).select("source_id", "entity_id", "name", "mentions", "confidence"), report_sql.ENTITIES)
 add("p14_relationships", lambda s, d: reports.relationships(docs(s, d)))
 add("p15_schema_nodes", lambda s, d: reports.schema_nodes(docs(s, d)).select("source_id", "type", "visible"))
-add("p17_findings", lambda s, d: reports.findings(docs(s, d)).select("source_id", "dimension", "present", "n"))
-add("p18_content_gaps", lambda s, d: reports.content_gaps(docs(s, d)).select("dimension", "signal", "status", "confidence"))
-add("p20_audit_actions", lambda s, d: reports.audit_actions(docs(s, d)))
-add("p21_attribute_map", lambda s, d: reports.attribute_map(docs(s, d)))
-add("p19_best_scores", lambda s, d: reports.readiness_dimensions(docs(s, d)).groupBy("dimension").agg(F.max("score").alias("best"), F.count("score").alias("known")))
+add("p17_findings", lambda s, d: reports.findings(docs(s, d)).select("source_id", "dimension", "present", "n"), report_sql.FINDING_ROWS)
+add("p18_content_gaps", lambda s, d: reports.content_gaps(docs(s, d)).select("dimension", "signal", "status", "confidence"), report_sql.GAP_ROWS)
+add("p20_audit_actions", lambda s, d: reports.audit_actions(docs(s, d)), report_sql.ACTIONS)
+add("p21_attribute_map", lambda s, d: reports.attribute_map(docs(s, d)), report_sql.ATTRIBUTES)
+add("p19_best_scores", lambda s, d: reports.readiness_dimensions(docs(s, d)).groupBy("dimension").agg(F.max("score").alias("best"), F.count("score").alias("known")), report_sql.BEST_SCORES)
 add(
     "p16_query_plan",
     lambda s, d: reports.query_plan(table(s, d, "eval_items").select(F.col("need").alias("query"), F.lit("observed").alias("origin")), table(s, d, "mix_targets").select(F.col("source").alias("topic"), F.col("source").alias("ord"))).select("query_id", "query", "origin", "intent", "stage", "priority", "tier", "cluster_label"),
@@ -71,10 +71,10 @@ add(
     lambda s, d: reports.query_plan(table(s, d, "eval_items").select(F.col("need").alias("query"), F.lit("observed").alias("origin")), table(s, d, "mix_targets").select(F.col("source").alias("topic"), F.col("source").alias("ord"))).where("origin = 'generatedHypothesis'").select("query"),
     f"with t as (select lower({sql.strip('source')}) as k, arg_min(source, source) as topic from mix_targets where length({sql.strip('source')}) > 0 group by 1), q as (select unnest(['what is ' || {sql.strip('topic')}, {sql.strip('topic')} || ' alternatives', {sql.strip('topic')} || ' pricing']) as query from t) select {sql.collapse(sql.strip('query'))} as query from q where lower({sql.collapse(sql.strip('query'))}) not in (select lower({sql.collapse(sql.strip('need'))}) from eval_items)",
 )
-add("f14_entity_counts", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(generators.entity_mentions(F.col("text"))).alias("mentions")))
-add("f15_faq_pairs", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.explode(generators.faq_pairs(F.col("text"))).alias("p")).select("doc_id", "p.question", "p.answer"))
-add("f10_document_sections", lambda s, d: docs(s, d).select("source_id", F.explode(generators.sections(F.col("text"))).alias("s")).select("source_id", "s.section_id", "s.heading"))
-add("f12_sentence_offsets", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", "text", F.explode(generators.sentences_with_offsets(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", (F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.sentence")).alias("exact")))
+add("f14_entity_counts", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.size(generators.entity_mentions(F.col("text"))).alias("mentions")), report_sql.ENTITY_COUNTS)
+add("f15_faq_pairs", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", F.explode(generators.faq_pairs(F.col("text"))).alias("p")).select("doc_id", "p.question", "p.answer"), unit_sql.FAQ_PAIRS)
+add("f10_document_sections", lambda s, d: docs(s, d).select("source_id", F.explode(generators.sections(F.col("text"))).alias("s")).select("source_id", "s.section_id", "s.heading"), report_sql.DOCUMENT_SECTIONS)
+add("f12_sentence_offsets", lambda s, d: table(s, d, "documents").where("text is not null").select("doc_id", "text", F.explode(generators.sentences_with_offsets(F.col("text"))).alias("s")).select("doc_id", "s.start", "s.end", (F.substring("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.sentence")).alias("exact")), report_sql.SENTENCE_OFFSETS)
 add("o33_dimension_matches", lambda s, d: docs(s, d).select("source_id", F.explode(generators.dimension_matches(F.col("text"))).alias("m")).select("source_id", "m.dimension", "m.start", "m.end"))
 add("f06_visible_lines", lambda s, d: pages(s, d).where("content_html is not null").select("page_id", F.size(F.split(generators.visible_text(F.col("content_html"), F.lit("text/html")), "\n")).alias("lines")))
 add(
@@ -101,7 +101,7 @@ add(
 _BEATS = """with b as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 900 seconds then 0 else 1 end as fresh from events), g as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as g from b)
 select user_id, min(ts) as held_from, max(ts) + interval 900 seconds as held_until, count(*) as beats from g group by user_id, g"""
 add("t03_lease_spans", lambda s, d: streams.lease_spans(table(s, d, "events"), "user_id", "ts"), _BEATS)
-add("t03_lease_stream", lambda s, d: streams.run_available(streams.lease_spans(streams.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts"), "leases", "complete"))
+add("t03_lease_stream", lambda s, d: streams.run_available(streams.lease_spans(streams.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts"), "leases", "complete"), _BEATS)
 add("t05_claim_once", lambda s, d: streams.run_available(streams.claim_once(streams.table_stream(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id", "ts").select("event_id"), "claims"), "select distinct event_id from events")
 add("t06_latest_status", lambda s, d: streams.latest_status(table(s, d, "events"), "user_id", "event_type", "ts"), "select user_id, arg_max(event_type, ts::varchar || event_type) as event_type, max(ts) as ts from events group by user_id")
 add("t06_status_stream", lambda s, d: streams.run_available(streams.latest_status(streams.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "event_type", "ts").select("user_id", "event_type"), "status", "complete"), "select user_id, arg_max(event_type, ts::varchar || event_type) as event_type from events group by user_id")

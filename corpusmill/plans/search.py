@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.operators import assets, index, ops, retrieve, verify
-from corpusmill.plans import sql
+from corpusmill.plans import sql, unit_sql
 from corpusmill.plans.core import UNITS, _units, pages
 from corpusmill.plans.sql import PAGES
 from corpusmill.session import materialize
@@ -298,7 +298,7 @@ add(
 )
 add("u01_union_distinct", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("n")).union(table(s, d, "supplier").select("s_nationkey")).distinct(), "select c_nationkey as n from customer union select s_nationkey from supplier")
 add("o14_entity_tags", lambda s, d: table(s, d, "documents").select("doc_id", F.array_distinct(F.slice(retrieve.terms(F.col("text")), 1, 12)).alias("entity_tags")).where(F.arrays_overlap("entity_tags", F.array(F.lit("how"), F.lit("why")))).select("doc_id"), f"select doc_id from documents where len(list_intersect(({sql.terms('text')})[1:12], ['how', 'why'])) > 0")
-add("o27_asset_chunks", lambda s, d: assets.asset_chunks(table(s, d, "eval_items").select(F.col("item_id").cast("string").alias("resource_digest"), "text")))
+add("o27_asset_chunks", lambda s, d: assets.asset_chunks(table(s, d, "eval_items").select(F.col("item_id").cast("string").alias("resource_digest"), "text")), unit_sql.ASSET_CHUNKS)
 add("a06_distinct_clusters", lambda s, d: table(s, d, "customer").agg(F.countDistinct("c_mktsegment").alias("n")), "select count(distinct c_mktsegment) as n from customer")
 add(
     "a10_ordered_distinct",
