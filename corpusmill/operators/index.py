@@ -171,11 +171,6 @@ def index_counts(pages: DataFrame, english_only: bool = True) -> DataFrame:
     return out.withColumns({"chunks_upserted": zero("chunks_upserted"), "chunks_skipped_repeat": zero("made") - zero("chunks_upserted"), "chunks_skipped_stub": zero("chunks_skipped_stub")}).drop("made")
 
 
-def write_run(nodes: DataFrame, path: str) -> None:
-    """S12, S13. The nodes as a table partitioned by run: the runs in `nodes` are replaced as a whole, others stay."""
-    nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
-
-
 def hash_vector(t: str, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The stand-in embedder: words and word pairs hashed to signed places, length 1; zeros for no words."""
     import re

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import classify, generators, ids, text
+from corpusmill.session import held, materialize
 
 BLANK = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 READINESS = ["headingHierarchy", "answerFirst", "faq", "schema", "factDensity", "eeat", "technicalCrawlabilityPerformance"]
@@ -126,7 +127,7 @@ def entities(docs: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     a name that several seeds claim goes to the last."""
     m = docs.select("source_id", F.explode(generators.entity_mentions(F.col("text"))).alias("m")).select("source_id", "m.*")
     if seeds is not None:
-        last = F.broadcast(seeds.groupBy(F.lower("name").alias("_k")).agg(F.max_by(F.struct("canonical", "type"), "ord").alias("c")))
+        last = held(seeds.groupBy(F.lower("name").alias("_k")).agg(F.max_by(F.struct("canonical", "type"), "ord").alias("c")))
         m = m.withColumn("_k", F.lower("value")).join(last, "_k", "left")
     else:
         m = m.withColumn("c", F.lit(None).cast("struct<canonical:string,type:string>"))
@@ -189,16 +190,16 @@ def query_plan(queries: DataFrame, topics: DataFrame, most: int = 200) -> DataFr
     return out.orderBy(F.desc("priority"), F.lower("query"))
 
 
-def findings(pages: DataFrame) -> DataFrame:
-    """P17. By page and dimension: present (null when the page is partial and nothing was found), signals, opportunity."""
+def findings(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """P17. By page and dimension: present (null when the page is partial and nothing was found), signals, opportunity; and kept columns."""
     d = _with_defaults(pages).withColumn("m", generators.dimension_matches(F.col("text")))
     names = F.array(*map(F.lit, generators.DIMENSIONS))
-    rows = d.select("source_id", "partial", "m", F.explode(names).alias("dimension"))
+    rows = d.select("source_id", *keep, "partial", "m", F.explode(names).alias("dimension"))
     own = F.filter("m", lambda x: x["dimension"] == F.col("dimension"))
     rows = rows.withColumn("signals", F.array_distinct(F.transform(own, lambda x: x["quote"]))).withColumn("n", F.size(own))
     present = F.when(F.col("n") > 0, True).when(~F.col("partial"), False)
     advice = F.create_map(*[F.lit(x) for kv in OPPORTUNITIES.items() for x in kv])
-    return rows.select("source_id", "dimension", present.alias("present"), "n", "signals", F.when(~present, advice[F.col("dimension")]).alias("opportunity"))
+    return rows.select("source_id", *keep, "partial", "dimension", present.alias("present"), "n", "signals", F.when(~present, advice[F.col("dimension")]).alias("opportunity"))
 
 
 def content_gaps(pages: DataFrame) -> DataFrame:
@@ -206,35 +207,49 @@ def content_gaps(pages: DataFrame) -> DataFrame:
 
     Coverage is true, false, or unknown (null) when a partial page might have it; it is never filled in.
     """
-    f = findings(pages).join(_with_defaults(pages).select("source_id", "role", "partial"), "source_id")
+    return _gaps(materialize(findings(pages, ("role",)), "findings"))
+
+
+def _gaps(f: DataFrame) -> DataFrame:
     s = f.where("role = 'subject'").groupBy("dimension").agg(F.max(F.coalesce("present", F.lit(False))).alias("t"), F.max(F.col("partial")).alias("p"))
     s = s.select("dimension", F.when(F.col("t"), True).when(~F.col("p"), False).alias("coverage"))
-    c = f.where("role = 'competitor'").groupBy("dimension").agg(F.count_if("present").alias("covering"), F.count("*").alias("total"), F.array_sort(F.collect_set(F.when(F.col("present"), F.col("source_id")))).alias("sources"))
+    c = f.where("role = 'competitor'").groupBy("dimension").agg(F.count_if("present").alias("covering"), F.count("*").alias("total"))
     gaps = s.join(c, "dimension").where("covering > 0 and (coverage is null or not coverage)")
     unknown = F.col("coverage").isNull()
-    gaps = gaps.select("dimension", F.lit(None).cast("string").alias("signal"), F.when(unknown, "coverageUnknown").otherwise("supportedGap").alias("status"), F.when(unknown, "unknown").when(F.col("covering") == F.col("total"), "high").otherwise("medium").alias("confidence"), "sources")
+    gaps = gaps.select("dimension", F.lit(None).cast("string").alias("signal"), F.when(unknown, "coverageUnknown").otherwise("supportedGap").alias("status"), F.when(unknown, "unknown").when(F.col("covering") == F.col("total"), "high").otherwise("medium").alias("confidence"), F.col("covering").alias("n_sources"))
     topics = f.where("dimension = 'topics'").select("role", "source_id", "partial", F.explode("signals").alias("signal")).withColumn("k", text.signal_form("signal"))
-    hidden = F.broadcast(_with_defaults(pages).where("role = 'subject'").agg(F.coalesce(F.max("partial"), F.lit(False)).alias("hidden")))
+    hidden = F.broadcast(f.where("role = 'subject'").agg(F.coalesce(F.max("partial"), F.lit(False)).alias("hidden")))
     only = topics.where("role = 'competitor'").join(topics.where("role = 'subject'").select("k"), "k", "left_anti")
-    only = only.groupBy("k").agg(F.min_by("signal", F.struct("source_id", "signal")).alias("signal"), F.array_sort(F.collect_set("source_id")).alias("sources")).crossJoin(hidden)  # one row
-    return gaps.unionByName(only.select(F.lit("topics").alias("dimension"), "signal", F.when(F.col("hidden"), "coverageUnknown").otherwise("supportedGap").alias("status"), F.when(F.col("hidden"), "unknown").otherwise("medium").alias("confidence"), "sources"))
+    only = only.groupBy("k").agg(F.min_by("signal", F.struct("source_id", "signal")).alias("signal"), F.countDistinct("source_id").alias("n_sources")).crossJoin(hidden)  # one row
+    return gaps.unionByName(only.select(F.lit("topics").alias("dimension"), "signal", F.when(F.col("hidden"), "coverageUnknown").otherwise("supportedGap").alias("status"), F.when(F.col("hidden"), "unknown").otherwise("medium").alias("confidence"), "n_sources"))
+
+
+def gap_sources(pages: DataFrame) -> DataFrame:
+    """P18. The competitor pages behind each gap, one row each: dimension, signal (null for the dimension itself), source_id."""
+    f = materialize(findings(pages, ("role",)), "findings")
+    gaps = materialize(_gaps(f).select("dimension", "signal"), "gaps")
+    theirs = f.where("role = 'competitor' and present")
+    whole = theirs.select("dimension", "source_id").join(held(gaps.where("signal is null").select("dimension")), "dimension", "left_semi").select("dimension", F.lit(None).cast("string").alias("signal"), "source_id")
+    topics = theirs.where("dimension = 'topics'").select("source_id", F.explode("signals").alias("s")).withColumn("k", text.signal_form("s"))
+    named = gaps.where("signal is not null").select("signal", text.signal_form("signal").alias("k"))
+    return whole.unionByName(topics.join(named, "k").select(F.lit("topics").alias("dimension"), "signal", "source_id").distinct())
 
 
 def audit_actions(pages: DataFrame) -> DataFrame:
     """P20, J16, R15. One action a gap (high for sure gaps, low for unknown ones), one a page opportunity; high first."""
     advice = F.create_map(*[F.lit(x) for kv in OPPORTUNITIES.items() for x in kv])
-    g = content_gaps(pages)
+    f = materialize(findings(pages, ("role",)), "findings")
+    g = _gaps(f)
     tier = F.when(F.col("status") == "coverageUnknown", "low").when(F.col("confidence") == "high", "high").otherwise("medium")
     a = g.select(ids.stable_id("action", F.col("dimension"), F.col("signal"), F.col("status")).alias("action_id"), tier.alias("tier"), "dimension", F.coalesce(advice[F.col("dimension")], F.lit("")).alias("action"), F.lit("gap").alias("origin"))
-    f = findings(pages).where("opportunity is not null")
-    b = f.select(ids.stable_id("opportunity", F.col("source_id"), F.col("dimension")).alias("action_id"), F.lit("medium").alias("tier"), "dimension", F.col("opportunity").alias("action"), F.lit("page").alias("origin"))
+    b = f.where("opportunity is not null").select(ids.stable_id("opportunity", F.col("source_id"), F.col("dimension")).alias("action_id"), F.lit("medium").alias("tier"), "dimension", F.col("opportunity").alias("action"), F.lit("page").alias("origin"))
     order = F.when(F.col("tier") == "high", 0).when(F.col("tier") == "medium", 1).otherwise(2)
     return a.unionByName(b).orderBy(order, "action_id")
 
 
 def attribute_map(pages: DataFrame) -> DataFrame:
     """P21 (the attribute part), J15. One row a page, dimension and signal; `only` marks signals no subject page has."""
-    f = findings(pages).where("present").join(pages.select("source_id", "role"), "source_id").select("role", "source_id", "dimension", F.explode("signals").alias("signal")).withColumn("k", text.signal_form("signal"))
+    f = materialize(findings(pages, ("role",)).where("present"), "findings").select("role", "source_id", "dimension", F.explode("signals").alias("signal")).withColumn("k", text.signal_form("signal"))
     own = f.where("role = 'subject'").select("dimension", "k", F.lit(True).alias("_own")).distinct()
     return f.join(own, ["dimension", "k"], "left").select("role", "source_id", "dimension", "signal", ((F.col("role") != "subject") & F.col("_own").isNull()).alias("only"))
 

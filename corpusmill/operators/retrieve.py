@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions import urls
+from corpusmill.session import held, materialize
 
 #: Term saturation, length weight and reference length of the document weights.
 K, B, AVERAGE = 1.2, 0.75, 256.0
 #: Constant of reciprocal-rank fusion.
 FUSION = 60
+#: Candidates a reranker gets at least, where there are so many.
+RERANK_POOL = 40
+#: Bytes of query vectors that every task holds at once.
+QUERY_BYTES = 32_000_000
 
 
 def metadata_filter(points: DataFrame, run_id: str | None = None, owner_id: str | None = None, visibility: str | None = None, crawl_type: str | None = None, host: str | None = None, chunk_role: str | None = None, source_types: list[str] | None = None, entity_names: list[str] | None = None, categories: list[str] | None = None, min_quality: float | None = None, language: str | None = "en") -> DataFrame:
@@ -54,18 +59,30 @@ def norm(a: Column) -> Column:
 
 
 def dense_top_k(points: DataFrame, queries: DataFrame, k: int, ident: str = "point_id", vector: str = "embedding") -> DataFrame:
-    """R1, R21. Exact cosine top k of each query. queries (query_id, vector) are the stated set: few, held by every task.
+    """R1, R21. Exact cosine top k of each query. queries (query_id, vector) are the stated set, held by every task in blocks of
+    QUERY_BYTES; each block is a pass over the points.
 
     Points with a null or zero vector, or another width, take no part.
     """
     q = queries.select("query_id", F.col("vector").alias("_q"), norm(F.col("vector")).alias("_n")).where("_n > 0")
     p = points.select(F.col(ident).alias("point_id"), F.col(vector).alias("_v"), norm(F.col(vector)).alias("_m")).where("_m > 0")
-    pairs = p.join(F.broadcast(q), F.size("_v") == F.size("_q"))
-    return top_per_query(pairs.select("query_id", "point_id", (dot(F.col("_v"), F.col("_q")) / (F.col("_m") * F.col("_n"))).alias("score")), k)
+    q = materialize(q, "queries")
+    size = q.agg(F.sum(F.size("_q") * 8 + 64)).first()[0] or 0
+    blocks = size // QUERY_BYTES + 1
+
+    def of(part: DataFrame) -> DataFrame:
+        pairs = p.join(F.broadcast(part), F.size("_v") == F.size("_q"))
+        return top_per_query(pairs.select("query_id", "point_id", (dot(F.col("_v"), F.col("_q")) / (F.col("_m") * F.col("_n"))).alias("score")), k)
+
+    out = of(q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == 0))
+    for n in range(1, blocks):
+        out = out.unionByName(of(q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)))
+    return out
 
 
 def terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Runs of letters and digits of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def postings(points: DataFrame, ident: str = "point_id", text: str = "embed_text", only: DataFrame | None = None) -> DataFrame:
@@ -80,16 +97,18 @@ def postings(points: DataFrame, ident: str = "point_id", text: str = "embed_text
 def sparse_top_k(points: DataFrame, queries: DataFrame, k: int, ident: str = "point_id", text: str = "embed_text", index: DataFrame | None = None) -> DataFrame:
     """R2. BM25 top k of each query (query_id, text): document weights times inverse document frequencies.
 
-    N and document frequencies are those of all points given. A repeated query term counts once.
+    N and document frequencies are those of all points given. A repeated query term counts once. Scores are rounded to
+    nine places before they are ranked, so that the order of a sum does not decide.
     """
     q = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    asked = F.broadcast(q.select("term").distinct())  # terms of the stated queries
+    asked = held(q.select("term").distinct())
+    q = held(q)
     total = points.agg(F.count("*").alias("total"))
     post = postings(points, ident, text, asked) if index is None else index.join(asked, "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    hit = post.join(F.broadcast(df), "term").join(F.broadcast(q), "term").crossJoin(F.broadcast(total))  # one row
+    hit = post.join(held(materialize(df, "frequencies")), "term").join(q, "term").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return top_per_query(hit.groupBy("query_id", "point_id").agg(F.sum(F.col("weight") * idf).alias("score")), k)
+    return top_per_query(hit.groupBy("query_id", "point_id").agg(F.round(F.sum(F.col("weight") * idf), 9).alias("score")), k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, top_k: int) -> DataFrame:
@@ -189,21 +208,50 @@ def positional(pool: DataFrame) -> DataFrame:
     return pool.withColumn("score", F.count("*").over(Window.partitionBy("query_id")) - F.col("rank") + 1)
 
 
-def hybrid(points: DataFrame, queries: DataFrame, top_k: int, prefer_parent: bool = False, prefer_child: bool = False, index: DataFrame | None = None) -> DataFrame:
-    """P3. queries: query_id, text, vector. Hits of every query: position, rank, fused score, text and the point's columns.
+def rerank_document(prefer_parent: bool, prefer_child: bool) -> Column:
+    """F40. What a reranker reads: the child, else the plain text, where parents are collapsed; else the text that is returned."""
+    whole = return_text(prefer_parent, prefer_child)
+    if not prefer_parent or prefer_child:
+        return whole
+    return F.coalesce(*[F.when(F.length(F.trim(c)) > 0, F.trim(c)) for c in ("child_text", "embed_text")], whole)
+
+
+def rerank(pool: DataFrame, top_k: int, score: Callable[[Column, Column], Column], query: str = "query_text", document: str = "document") -> DataFrame:
+    """R5, R6. Each query's pool, cut to the best max(2 * top_k, RERANK_POOL), in the order that `score` (of query and document)
+    gives; equal scores keep their order. The new rank and score take the place of the old."""
+    cut = pool.where(F.col("rank") <= max(2 * top_k, RERANK_POOL)).withColumn("score", score(F.col(query), F.col(document)))
+    return cut.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "rank")))
+
+
+def overlap_score(query: Column, document: Column) -> Column:
+    """The stand-in reranker: the share of the query's different terms that the document has."""
+    asked = F.array_distinct(terms(query))
+    return F.size(F.array_intersect(asked, terms(document))) / F.greatest(F.size(asked), F.lit(1))
+
+
+def hybrid(points: DataFrame, queries: DataFrame, top_k: int, prefer_parent: bool = False, prefer_child: bool = False, index: DataFrame | None = None, reranker: Callable[[Column, Column], Column] | None = None, **conditions: object) -> DataFrame:
+    """P3. queries: query_id, text, vector. Hits of every query: position, rank, score, text and the point's columns.
 
-    points are filtered beforehand (metadata_filter), as the order of filter and top k matters.
+    Conditions are those of metadata_filter and hold before both halves, as the order of filter and top k matters; children
+    are searched when either preference is given (O8). `index` (postings with the points' ids) holds for unfiltered points.
+    The pool is the whole union unless a reranker is given.
     """
+    if conditions:
+        points = metadata_filter(points, **{"chunk_role": search_role(conditions.pop("chunk_role", None), prefer_parent, prefer_child), **conditions})
+        index = None if index is None else index.join(points.select("point_id"), "point_id", "left_semi")
     n = fetch_size(top_k)
     dense = dense_top_k(points, queries, n)
     sparse = sparse_top_k(points, queries, n, index=index)
     fused = fuse(dense, sparse, 2 * n)
     collapse = prefer_parent and not prefer_child
     wanted = points.withColumn("page_key", urls.page_key("page_id", "final_url", "url")).withColumn("text", return_text(prefer_parent, prefer_child)).withColumn("lineage", lineage_key())
-    pool = wanted.join(F.broadcast(fused), "point_id")
-    picked = select_diverse(pool, top_k, collapse)
+    pool = wanted.join(held(materialize(fused, "fused")), "point_id")
+    if reranker is not None:
+        asked = held(queries.select("query_id", F.col("text").alias("query_text")))
+        pool = rerank(pool.withColumn("document", rerank_document(prefer_parent, prefer_child)).join(asked, "query_id"), top_k, reranker).drop("query_text", "document")
+    picked = materialize(select_diverse(pool, top_k, collapse).select("query_id", "point_id", F.col("rank").alias("rank"), "position"), "picked")
     keep = [c for c in wanted.columns if c not in ("embedding", "lineage", "page_key")]
-    hits = pool.select("query_id", "score", *keep).join(F.broadcast(picked.select("query_id", "point_id", "rank", "position")), ["query_id", "point_id"])
+    hits = pool.select("query_id", "score", *keep).join(held(picked), ["query_id", "point_id"])
     return hits.where(F.length(F.trim("text")) > 0)
 
 

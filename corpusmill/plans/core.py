@@ -98,6 +98,7 @@ add("o22_section_anchors", lambda s, d: sections.page_sections(pages(s, d)).sele
 add("o25_units", lambda s, d: sections.units(sections.page_sections(pages(s, d))).select("page_id", "section_index", "parent_index", "child_index", "section_title", "parent_text", "child_text"), unit_sql.UNITS_OF_PAGES)
 add("p01_index_run", lambda s, d: index.index_run(table(s, d, "crawl_pages")).select("point_id", "run_id", "page_id", "chunk_role", "chunk_key", "category", "quality", "text_digest"), unit_sql.INDEX_RUN)
 add("a02_index_counts", lambda s, d: index.index_counts(table(s, d, "crawl_pages")), unit_sql.INDEX_COUNTS)
+add("o29_parents_once", lambda s, d: index.page_nodes(pages(s, d)).where("chunk_role = 'parent'").select("page_id", "chunk_key", "text_digest"), unit_sql.PARENTS)
 UNITS = "(select distinct unit_id, page_id, run_id, section_title, parent_index, child_index, parent_text, child_text from parent_child_units)"
 
 
@@ -116,21 +117,10 @@ add(
     f"""with u as (select u.*, p.crawled_at, sha256(regexp_replace(child_text, {sql.q(text.UNWANTED)}, '', 'g')) as text_digest from {UNITS} u join {PAGES} p using (page_id) where u.run_id is not null),
     o as (select *, first_value(page_id) over (partition by run_id, text_digest order by crawled_at, page_id) as owner from u) select unit_id, run_id, page_id, text_digest from o where page_id = owner""",
 )
-add(
-    "o29_parents_once",
-    lambda s, d: _units(s, d).withColumn("n", F.row_number().over(Window.partitionBy("page_id", "parent_index").orderBy("child_index", "unit_id"))).where("n = 1").where(text.strip(F.col("parent_text")) != text.strip(F.col("child_text"))).select("page_id", "parent_index", "unit_id"),
-    f"select page_id, parent_index, unit_id from (select *, row_number() over (partition by page_id, parent_index order by child_index, unit_id) as n from {UNITS}) where n = 1 and {sql.strip('parent_text')} <> {sql.strip('child_text')}",
-)
 add(
     "p02_embed_distinct",
     lambda s, d: index.embed_distinct(_units(s, d).withColumn("embed_text", text.sanitize("child_text")).select("unit_id", "embed_text"))[0].select("unit_id", F.size("embedding").alias("width"), F.round(retrieve.norm(F.col("embedding")), 3).alias("length")),
 )
-add(
-    "s21_new_vectors",
-    lambda s, d: _units(s, d).where("child_index > 0").select(F.sha2("child_text", 256).alias("key")).distinct().join(_units(s, d).where("child_index = 0").select(F.sha2("child_text", 256).alias("key")), "key", "left_anti"),
-    f"select distinct sha256(child_text) as key from {UNITS} where child_index > 0 and sha256(child_text) not in (select sha256(child_text) from {UNITS} where child_index = 0)",
-)
-
 # --- addresses
 
 

@@ -102,3 +102,12 @@ p as (select doc_id, text, unnest(ps) as p, unnest(range(len(ps))) as n from m),
 o as (select doc_id, text, n, case when n = 0 then p else split_part(p, chr(2), 2) end as body, length(replace(p, chr(2), '')) as whole, case when n = 0 then 0 else length(split_part(p, chr(2), 1)) end as sep from p),
 a as (select *, coalesce(sum(whole) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) + sep as base, length(body) - length(regexp_replace(body, '^[ \\n\\-*]+', '')) as skipped, regexp_replace(body, '^[ \\n\\-*]+|[ \\n\\-*]+$', '', 'g') as s from o)
 select doc_id, cast(base + skipped as int) as start, cast(base + skipped + length(s) as int) as "end", true as exact from a where length(s) >= 3"""
+
+_TWO = "a as (select min(source_id) as id from docs where role = 'subject'), b as (select min(source_id) as id from docs where role = 'competitor')"
+COVERAGE = f"""with {DOCS}, {_TWO}, m as (select source_id, unnest(l) as v, unnest(range(len(l))) as n from (select source_id, {_NAMES} as l from docs where source_id in (select id from a union all select id from b)) t),
+e as (select source_id, lower(v) as entity_key, arg_min(v, n) as name from m group by source_id, lower(v))
+select o.entity_key, coalesce(s.name, o.name) as name, case when s.name is null then 'missingOnSubject' else 'both' end as status from e o left join e s on s.entity_key = o.entity_key and s.source_id = (select id from a) where o.source_id = (select id from b)"""
+COMPARISON = READINESS_ROWS.rstrip() + """, a as (select min(source_id) as id from docs where role = 'subject')
+select x.dimension, x.score, y.best, round(x.score - y.best, 1) as delta from r x left join (select dimension, max(score) as best from r where source_id <> (select id from a) group by dimension) y using (dimension) where x.source_id = (select id from a)"""
+GAP_SOURCES = f"""with {DOCS}, {FINDINGS}, {_GAPS} select f.dimension, cast(null as varchar) as signal, f.source_id from findings f join gaps g on g.dimension = f.dimension and g.signal is null where f.role = 'competitor' and f.present
+union all select distinct 'topics', g.signal, s.source_id from gaps g join missing m on m.signal = g.signal join signals s on s.k = m.k and s.dimension = 'topics' and s.role = 'competitor'"""

@@ -12,10 +12,12 @@ from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.operators import assets, checks, ops, reports, retrieve, sections
 from corpusmill.plans import report_sql, sql, unit_sql
 from corpusmill.plans.core import _MARKED, pages
+from corpusmill.plans.core import ORACLE as CORE_ORACLE
 from corpusmill.plans.sql import PAGES
 from corpusmill.sources.tables import table, upsert
 from corpusmill.streaming import streams
 
+ORACLE_OF_CLASSES = CORE_ORACLE["f34_query_class"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -113,13 +115,11 @@ add(
     lambda s, d: upsert(table(s, d, "crawl_pages").where("failure_reason is null").select("page_id", "arrived_at"), table(s, d, "crawl_pages").select("page_id", "arrived_at"), "page_id", "arrived_at"),
     "select page_id, max(arrived_at) as arrived_at from crawl_pages group by page_id",
 )
-add("s17_crawl_types", lambda s, d: pages(s, d).join(table(s, d, "crawl_runs").select("run_id", "crawl_type").distinct(), "run_id").select(site("origin").alias("host"), F.lower("crawl_type").alias("crawl_type")).distinct(), f"select distinct regexp_extract(lower(origin), {sql.q(SITE_PATTERN)}, 1) as host, lower(crawl_type) as crawl_type from {PAGES} join (select distinct run_id, crawl_type from crawl_runs) using (run_id)")
 add(
     "r18_upsert_items",
     lambda s, d: assets.upsert_items(table(s, d, "documents").where("text is not null").select(F.lower("source").alias("template_id"), F.col("text").alias("body"), F.col("doc_id").alias("ord"))).select("ord"),
     f"with ok as (select lower(trim(lower(source))) as id, doc_id from documents where text is not null and length({sql.strip('text')}) >= 8), f as (select *, row_number() over (partition by id order by doc_id) as n from ok) select doc_id as ord from f where n = 1 order by doc_id limit 50",
 )
-add("r11_template_top_k", lambda s, d: retrieve.dense_top_k(table(s, d, "embeddings").where("label < 5").withColumnRenamed("vec_id", "point_id"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 20).select("query_id", "point_id", "rank"), "select query_id, point_id, rank from (select query_id, point_id, row_number() over (partition by query_id order by score desc, point_id) as rank from (select q.vec_id as query_id, p.vec_id as point_id, list_dot_product(p.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(p.embedding::double[], p.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) as score from embeddings p, embeddings q where q.vec_id % 50 = 0 and p.label < 5) t) u where rank <= 20")
 add(
     "r12_asset_top_k",
     lambda s, d: assets.asset_top_k(table(s, d, "embeddings").withColumnRenamed("vec_id", "point_id").withColumn("manifest_eligible", F.col("label") != 3), table(s, d, "embeddings").select("label").where("label in (1, 2, 3)").distinct(), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 5, ["label"]).select("query_id", "point_id", "rank"),
@@ -127,8 +127,27 @@ add(
 )
 add("p29_contract_diff", lambda s, d: ops.contract_diff(s.createDataFrame([(f.name, f.dataType.simpleString()) for f in table(s, d, "orders").schema], "field string, type string"), s.createDataFrame([("o_orderkey", "bigint"), ("o_custkey", "int"), ("o_note", "string")], "field string, type string")))
 add("j06_allowed_versions", lambda s, d: assets.allowed(table(s, d, "lineitem"), table(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey")).orderBy("l_partkey").limit(500), ["l_partkey"]).groupBy("l_partkey").agg(F.count("*").alias("n")), "select l_partkey, count(*) as n from lineitem where l_partkey in (select p_partkey from part where p_size = 7 order by p_partkey limit 500) group by l_partkey")
-add("j09_pages_of_quotes", lambda s, d: table(s, d, "parent_child_units").select("unit_id", "page_id").distinct().join(pages(s, d).select("page_id", "url"), "page_id", "left").select("unit_id", "url"), f"select unit_id, url from (select distinct unit_id, page_id from parent_child_units) u left join {PAGES} p using (page_id)")
-add("j15_new_words", lambda s, d: table(s, d, "documents").where("text is not null and lang = 'de'").select(F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("k")).distinct().join(table(s, d, "documents").where("text is not null and lang = 'en'").select(F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("k")).distinct(), "k", "left_anti"), f"select distinct k from (select unnest({sql.terms('text')}) as k from documents where lang = 'de') where k not in (select unnest({sql.terms('text')}) from documents where text is not null and lang = 'en')")
+add("j15_new_words", lambda s, d: table(s, d, "documents").where("text is not null and lang = 'de'").select(F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("k")).distinct().join(table(s, d, "documents").where("text is not null and lang = 'en'").select(F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("k")).distinct(), "k", "left_anti"), f"select distinct k from (select unnest({sql.words('text')}) as k from documents where lang = 'de') where k not in (select unnest({sql.words('text')}) from documents where text is not null and lang = 'en')")
 add("o28_batches", lambda s, d: sections.batched(table(s, d, "documents").where("text is not null"), "doc_id", "text"))
 add("o37_repeated_keys", lambda s, d: checks.repeated(table(s, d, "parent_child_units"), "unit_id"), "select unit_id, count(*) as n from parent_child_units group by unit_id having count(*) > 1")
 add("o37_unknown_pages", lambda s, d: checks.unknown(table(s, d, "page_hits").where("page_id is not null"), table(s, d, "crawl_pages"), "page_id").select("page_id").distinct(), "select distinct page_id from page_hits where page_id is not null and page_id not in (select page_id from crawl_pages)")
+
+
+def _first_of(s: SparkSession, d: str, role: str) -> str:
+    """The smallest document of a role, '' where there is none."""
+    return docs(s, d).where(F.col("role") == role).agg(F.min("source_id")).first()[0] or ""
+
+
+add("j11_entity_coverage", lambda s, d: reports.entity_coverage(docs(s, d), _first_of(s, d, "subject"), _first_of(s, d, "competitor")), report_sql.COVERAGE)
+add("j14_readiness_comparison", lambda s, d: reports.readiness_comparison(docs(s, d), _first_of(s, d, "subject")), report_sql.COMPARISON)
+add("p18_gap_sources", lambda s, d: reports.gap_sources(docs(s, d)), report_sql.GAP_SOURCES)
+add(
+    "a06_distinct_clusters",
+    lambda s, d: reports.query_plan(table(s, d, "eval_items").select(F.col("need").alias("query"), F.lit("observed").alias("origin")), table(s, d, "mix_targets").select(F.col("source").alias("topic"), F.col("source").alias("ord")).limit(0)).agg(F.countDistinct("cluster_id").alias("clusters")),
+    f"select count(distinct label) as clusters from ({ORACLE_OF_CLASSES})",
+)
+add(
+    "r11_template_top_k",
+    lambda s, d: assets.template_top_k(table(s, d, "embeddings").select(F.col("vec_id").alias("template_id"), "embedding", F.when(F.col("label") == 3, F.lit(" ")).otherwise(F.lit("text")).alias("body")), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 25).select("query_id", "template_id", "rank"),
+    "select query_id, template_id, rank from (select query_id, template_id, label, row_number() over (partition by query_id order by score desc, template_id) as rank from (select q.vec_id as query_id, p.vec_id as template_id, p.label, list_dot_product(p.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(p.embedding::double[], p.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) as score from embeddings p, embeddings q where q.vec_id % 50 = 0) t) u where rank <= 20 and label <> 3",
+)

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text
+from corpusmill.functions import classify, language, text, urls
 from corpusmill.functions.sites import SITE_PATTERN, site
 from corpusmill.operators import assets, index, ops, retrieve, verify
 from corpusmill.plans import sql, unit_sql
 from corpusmill.plans.core import UNITS, _units, pages
 from corpusmill.plans.sql import PAGES
 from corpusmill.session import materialize
+from corpusmill.sources import tables
 from corpusmill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,17 +59,16 @@ def _needs(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("need").alias("text"))
 
 
-_S = f"""w as (select doc_id, unnest({sql.terms("text")}) as term, len({sql.terms("text")}) as n from documents where text is not null),
+_S = f"""w as (select doc_id, unnest({sql.words("text")}) as term, len({sql.words("text")}) as n from documents where text is not null),
 t as (select doc_id, term, count(*) as tf, any_value(n) as n from w group by doc_id, term),
 df as (select term, count(*) as df from t group by term), c as (select count(*) as total from documents where text is not null),
-n as (select item_id as query_id, unnest(list_distinct({sql.terms("need")})) as term from eval_items),
-sc as (select query_id, doc_id as point_id, sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256.0)) * ln(1 + (total - df + 0.5) / (df + 0.5))) as score from n join t using (term) join df using (term), c group by query_id, doc_id),
+n as (select item_id as query_id, unnest(list_distinct({sql.words("need")})) as term from eval_items),
+sc as (select query_id, doc_id as point_id, round(sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256.0)) * ln(1 + (total - df + 0.5) / (df + 0.5))), 9) as score from n join t using (term) join df using (term), c group by query_id, doc_id),
 s as (select query_id, point_id, score, row_number() over (partition by query_id order by round(score, 9) desc, point_id) as rank from sc qualify rank <= 30)"""
 
 
 def _sparse(s: SparkSession, d: str, k: int = 30) -> DataFrame:
-    every = retrieve.sparse_top_k(_doc_points(s, d), _needs(s, d), 10**9)
-    return retrieve.top_per_query(every.withColumn("score", F.round("score", 9)).drop("rank"), k)
+    return retrieve.sparse_top_k(_doc_points(s, d), _needs(s, d), k)
 
 
 add("r02_sparse_top_k", lambda s, d: _sparse(s, d).select("query_id", "point_id", F.round("score", 6).alias("score"), "rank"), f"with {_S} select query_id, point_id, round(score, 6) as score, rank from s")
@@ -286,22 +286,69 @@ add(
     "select l_orderkey, l_linenumber, exists (select 1 from lineitem s where s.l_orderkey = l.l_orderkey and s.l_linenumber * 10 - 10 <= cast(floor(l.l_quantity) as int) and cast(floor(l.l_quantity) as int) < s.l_linenumber * 10) as covered from lineitem l",
 )
 add("s14_delete_rows", lambda s, d: assets.delete_rows(table(s, d, "orders"), table(s, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").alias("o_custkey")), ["o_custkey"]).select("o_orderkey"), "select o_orderkey from orders where o_custkey not in (select c_custkey from customer where c_nationkey = 3)")
-add(
-    "j11_full_outer",
-    lambda s, d: table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers")).join(table(s, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("suppliers")), "c_nationkey", "full_outer").withColumn("status", F.when(F.col("suppliers").isNull(), "left").when(F.col("customers").isNull(), "right").otherwise("both")),
-    "select c_nationkey, customers, suppliers, case when suppliers is null then 'left' when customers is null then 'right' else 'both' end as status from (select c_nationkey, count(*) as customers from customer group by c_nationkey) c full join (select s_nationkey as c_nationkey, count(*) as suppliers from supplier where s_acctbal > 5000 group by s_nationkey) s using (c_nationkey)",
-)
-add(
-    "j14_delta_to_best",
-    lambda s, d: table(s, d, "supplier").groupBy("s_nationkey").agg(F.max("s_acctbal").alias("best")).join(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.avg("c_acctbal").alias("own")), "s_nationkey", "left").select("s_nationkey", F.round(F.col("own") - F.col("best"), 1).alias("delta")),
-    "select s_nationkey, round(own - best, 1) as delta from (select s_nationkey, max(s_acctbal) as best from supplier group by s_nationkey) s left join (select c_nationkey as s_nationkey, avg(c_acctbal) as own from customer group by c_nationkey) c using (s_nationkey)",
-)
 add("u01_union_distinct", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("n")).union(table(s, d, "supplier").select("s_nationkey")).distinct(), "select c_nationkey as n from customer union select s_nationkey from supplier")
-add("o14_entity_tags", lambda s, d: table(s, d, "documents").select("doc_id", F.array_distinct(F.slice(retrieve.terms(F.col("text")), 1, 12)).alias("entity_tags")).where(F.arrays_overlap("entity_tags", F.array(F.lit("how"), F.lit("why")))).select("doc_id"), f"select doc_id from documents where len(list_intersect(({sql.terms('text')})[1:12], ['how', 'why'])) > 0")
 add("o27_asset_chunks", lambda s, d: assets.asset_chunks(table(s, d, "eval_items").select(F.col("item_id").cast("string").alias("resource_digest"), "text")), unit_sql.ASSET_CHUNKS)
-add("a06_distinct_clusters", lambda s, d: table(s, d, "customer").agg(F.countDistinct("c_mktsegment").alias("n")), "select count(distinct c_mktsegment) as n from customer")
 add(
     "a10_ordered_distinct",
     lambda s, d: table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"])), ",").alias("flags")),
     "with o as (select l_orderkey, l_returnflag, min(l_linenumber) as n from lineitem group by l_orderkey, l_returnflag) select l_orderkey, string_agg(l_returnflag, ',' order by n, l_returnflag) as flags from o group by l_orderkey",
 )
+
+# --- governed templates by tags, channel and owner
+
+
+def _templates(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").where("text is not null").select("doc_id", F.pmod("doc_id", F.lit(3)).cast("string").alias("owner_id"), F.col("lang").alias("channel"), F.col("source").alias("framework"), F.array_distinct(F.slice(retrieve.terms(F.col("text")), 1, 12)).alias("entity_tags"))
+
+
+add(
+    "o14_entity_tags",
+    lambda s, d: assets.template_filter(_templates(s, d), "1", " EN ", None, ["how", "why"]).select("doc_id"),
+    f"select doc_id from documents where text is not null and doc_id % 3 = 1 and lower(lang) = 'en' and len(list_intersect(({sql.words('text')})[1:12], ['how', 'why'])) > 0",
+)
+
+
+def _points(s: SparkSession, d: str) -> DataFrame:
+    """The units as points with what a question may ask for."""
+    p = pages(s, d).select("page_id", "url", urls.host_of("origin", "url").alias("host"), classify.quality(text.plain_text("blocks"), "title", F.size("blocks") > 0).alias("quality"), classify.category("url", text.plain_text("blocks")).alias("category"))
+    return _units(s, d).select("unit_id", "page_id", "run_id", "child_text").join(p, "page_id").withColumns({"chunk_role": F.lit("child"), "language": language.language(F.col("child_text"))})
+
+
+add(
+    "o07_filtered_points",
+    lambda s, d: retrieve.metadata_filter(_points(s, d), host=" HarrowLedger.example", categories=["Page", " docs "], min_quality=0.5, language="en", chunk_role=retrieve.search_role(None, True, False)).select("unit_id"),
+    f"""with p as (select page_id, {sql.host('origin', 'url')} as host, {sql.category('url', sql.plain('blocks'))} as category, title, blocks, length({sql.strip(sql.plain('blocks'))}) as n from {PAGES}),
+    r as (select *, least(greatest(35 + case when length(title) > 0 then 15 else 0 end + case when len(blocks) > 0 then 15 else 0 end + case when n >= 500 then 15 else 0 end + case when n >= 2000 then 10 else 0 end + case when n >= 5000 then 10 else 0 end - case when n < 200 then 20 else 0 end, 0), 100) / 100 as quality from p)
+    select unit_id from {UNITS} u join r using (page_id) where host = 'harrowledger.example' and category in ('page', 'docs') and quality >= 0.5 and {unit_sql.language('u.child_text')} = 'en'""",
+)
+add(
+    "r05_reranked",
+    lambda s, d: retrieve.rerank(_sparse(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("point_id"), F.col("text").alias("document")), "point_id").join(_needs(s, d).withColumnRenamed("text", "query_text"), "query_id"), 8, retrieve.overlap_score).where("rank <= 8").select("query_id", "point_id", F.round("score", 9).alias("score"), "rank"),
+    f"""with {_S}, o as (select s.query_id, s.point_id, s.rank as r, round(len(list_intersect(list_distinct({sql.words('need')}), list_distinct({sql.words('d.text')}))) / greatest(len(list_distinct({sql.words('need')})), 1), 9) as score from s join documents d on d.doc_id = s.point_id join eval_items e on e.item_id = s.query_id where s.rank <= 40)
+    select query_id, point_id, score, cast(row_number() over (partition by query_id order by score desc, r) as int) as rank from o qualify rank <= 8""",
+)
+
+# --- points by host, cached vectors
+
+
+def _typed(s: SparkSession, d: str) -> DataFrame:
+    return pages(s, d).join(table(s, d, "crawl_runs").select("run_id", "crawl_type").distinct(), "run_id").select(F.col("page_id").alias("point_id"), site("origin").alias("host"), F.lower("crawl_type").alias("crawl_type"))
+
+
+_TYPED = f"(select page_id as point_id, regexp_extract(lower(origin), {sql.q(SITE_PATTERN)}, 1) as host, lower(crawl_type) as crawl_type from {PAGES} join (select distinct run_id, crawl_type from crawl_runs) using (run_id))"
+add("s17_crawl_types", lambda s, d: tables.crawl_types(_typed(s, d), "harrowledger.example"), f"select distinct crawl_type from {_TYPED} where host = 'harrowledger.example' order by crawl_type nulls first limit 16")
+add("s16_any_point", lambda s, d: tables.any_point(_typed(s, d), "harrowledger.example").select("point_id", "host"), f"select min(point_id) as point_id, host from {_TYPED} where host = 'harrowledger.example' group by host")
+_KEYS = "select distinct sha256(child_text) as key from "
+add("s21_new_vectors", lambda s, d: tables.new_vectors(_units(s, d).where("child_index = 0").select(F.sha2("child_text", 256).alias("key")), _units(s, d).select(F.sha2("child_text", 256).alias("key"))), f"{_KEYS} {UNITS} where sha256(child_text) not in (select sha256(child_text) from {UNITS} where child_index = 0)")
+add(
+    "s20_cached_vectors",
+    lambda s, d: tables.cached_vectors(table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.when(F.col("label") == 3, F.slice("embedding", 1, 8)).otherwise(F.col("embedding")).alias("vector")), table(s, d, "documents").select(F.col("doc_id").alias("key")), 64).select("key"),
+    "select distinct doc_id as key from documents join embeddings on vec_id = doc_id where label <> 3",
+)
+add("j09_missing_pages", lambda s, d: verify.verify_quotes(_quotes(s, d), pages(s, d)).where("reason <> 'quote_not_found'").select("quote_id", "reason"), f"with c as (select page_id, {sql.reason()} as why, {sql.plain('blocks')} as t from {PAGES}), r as (select *, case when why is not null and why <> 'no_content' then 'page_not_citable:' || why when length({sql.strip('t')}) = 0 then 'page_not_found' end as refusal from c), j as (select unit_id as quote_id, case when r.page_id is null then 'page_not_found' else refusal end as reason from {UNITS} u left join r using (page_id)) select quote_id, reason from j where reason is not null")
+add(
+    "j01_entity_or_host",
+    lambda s, d: index.resolve_entities(_typed(s, d), table(s, d, "mix_targets").select(F.col("source").alias("entity_id"), F.col("source").alias("entity_name"), F.lit("listed").alias("source_type"), F.lit("harrowledger.example").alias("domain"), F.col("target_share").alias("ord")), crawl_type="crawl_type").select("host", "crawl_type", "entity_id", "entity_name", "source_type"),
+    f"""with h as (select distinct host, crawl_type from {_TYPED} where length(host) > 0), e as (select source from mix_targets order by target_share, source limit 1)
+    select host, crawl_type, case when own then source end as entity_id, case when own then source else host end as entity_name, case when own then 'listed' when coalesce(trim(crawl_type), '') = '' then 'unknown' else lower(trim(crawl_type)) end as source_type from (select *, host = 'harrowledger.example' or ends_with(host, '.harrowledger.example') as own from h) x, e""",
+)

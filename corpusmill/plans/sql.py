@@ -93,5 +93,9 @@ def terms(x: str) -> str:
     return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
 
 
+def words(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[\\pL\\pN]+')"
+
+
 #: One row a page: the delivery that arrived last (deliveries of a page differ in nothing else).
 PAGES = "(select * from crawl_pages qualify row_number() over (partition by page_id order by arrived_at desc) = 1)"

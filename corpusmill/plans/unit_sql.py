@@ -120,3 +120,5 @@ i as (select page_id, g, row_number() over (partition by page_id order by g) - 1
 a as (select page_id, g, pos, unnest(b.anchors) as a, unnest(range(len(b.anchors))) as n from g),
 f as (select page_id, g, {strip("a.href")} as href, arg_min({strip("coalesce(a.label, chr(32))")}, pos * 100000 + n) as label from a where length({strip("a.href")}) > 0 group by 1, 2, 3)
 select page_id, cast(section_index as int) as section_index, count(*) as links, count(*) filter (where length(label) > 0) as labelled from f join i using (page_id, g) group by page_id, section_index"""
+
+PARENTS = f"{_run()} select page_id, chunk_key, text_digest from n where chunk_role = 'parent'"

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Spark removes an execution's shuffle files when it ends; what a written table was made from is not needed again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -93,6 +94,12 @@ def _cleanup() -> None:
     _written.clear()
 
 
+def held(df: DataFrame, limit_rows: int = 200_000) -> DataFrame:
+    """df as the side of a join that every task holds, where it is small enough; else as it is, to be shuffled. For rows of a few
+    short values, so that the limit stands for some 20 MB. df is planned twice; give it written where that is dear."""
+    return F.broadcast(df) if small_enough(df, limit_rows) else df
+
+
 def small_enough(df: DataFrame, limit_rows: int) -> bool:
     """True when df has at most limit_rows rows, found without reading more than limit_rows + 1 of them."""
     return df.limit(limit_rows + 1).count() <= limit_rows
