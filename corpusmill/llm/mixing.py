@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from math import exp, log
+from math import exp, isqrt, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.public_tokens import DEFAULT_VOCABULARY, public_token_count
+from corpusmill.llm.public_tokens import DEFAULT_VOCABULARY, public_token_count
 from corpusmill.session import materialize
 
-#: Documents a block holds on average.
+#: Documents a block holds on average, at least; so many that a source has no more blocks than a block has documents, where
+#: it has more than the square of this.
 BLOCK_DOCS = 2000
 
 
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, ident: str, text: str, source: str, targets: DataFrame,
     for k, (want, most) in sorted(listed.items()):
         budget = share.get(k, 0.0) * total
         passes = min(int(budget // tokens[k]), most) if tokens[k] else 0
-        plan.append((k, float(want), int(most), tokens[k], passes, float(budget - passes * tokens[k]) if passes < most else 0.0, max(1, sums[k][1] // BLOCK_DOCS) if k in sums else 1))
+        plan.append((k, float(want), int(most), tokens[k], passes, float(budget - passes * tokens[k]) if passes < most else 0.0, max(1, sums[k][1] // max(BLOCK_DOCS, isqrt(sums[k][1]))) if k in sums else 1))
     plan_df = F.broadcast(spark.createDataFrame(plan, "source string, target_share double, max_repeats int, tokens long, passes int, rest double, blocks long"))
     placed = sized.join(plan_df.select("source", "passes", "rest", "blocks"), "source").withColumn("block", F.pmod("h", F.col("blocks")))
     blocks = placed.groupBy("source", "block", "rest").agg(F.sum("n").alias("size"))

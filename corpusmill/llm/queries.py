@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions.sites import SITE_PATTERN, site
-from corpusmill.llm.furniture import furniture
+from corpusmill.llm.furniture import furniture, main_blocks
 from corpusmill.llm.leaks import leaks
 from corpusmill.llm.mixing import mix
 from corpusmill.llm.neardup import all_pairs, classes, near_duplicates
 from corpusmill.llm.residue import residue
-from corpusmill.llm.site_lines import repeated_lines
-from corpusmill.llm.split import split_oversized
+from corpusmill.llm.site_lines import remove_repeated_lines, repeated_lines
+from corpusmill.llm.split import split_items, split_oversized
 from corpusmill.llm.stuffing import stuffed
 from corpusmill.llm.topn import top_n
 
@@ -56,6 +56,30 @@ select distinct page_id, cast(block_pos as int) as block_pos, cast(line_no as in
 """
 
 
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that are left when the repeated lines are taken out of every page."""
+    pages = remove_repeated_lines(_table(spark, sf_dir, "crawl_pages"), "page_id", site("origin"), "blocks", 5)
+    return pages.select("page_id", F.posexplode("blocks").alias("block_pos", "b")).select("page_id", "block_pos", F.col("b.text").alias("text")).where("text is not null").distinct()
+
+
+QUERIES["p3_clean"] = p3_clean
+ORACLE["p3_clean"] = f"""
+with p as (select distinct page_id, regexp_extract(lower(origin), '{SITE_PATTERN}', 1) as site, blocks from crawl_pages where page_id is not null),
+b as (select page_id, site, unnest(blocks) as b, unnest(range(len(blocks))) as block_pos from p where len(blocks) > 0),
+t as (select page_id, site, block_pos, b.kind = 'code' as code, b.text as text, string_split(b.text, chr(10)) as ls from b where b.text is not null),
+l as (select page_id, site, block_pos, code, text, unnest(ls) as line, unnest(range(len(ls))) as line_no from t),
+k as (select *, case when code then '' else regexp_replace(lower(line), '[^\\p{{L}}]+', '', 'g') end as key from l),
+g as (select site, key from k where key <> '' and site is not null group by site, key having count(distinct page_id) >= 5)
+select distinct page_id, cast(block_pos as int) as block_pos, case when code then text else coalesce(string_agg(line, chr(10) order by line_no) filter (where g.key is null), '') end as text
+from k left join g using (site, key) group by page_id, site, block_pos, code, text
+"""
+
+
+def p5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the units within the limit of children: the pieces of the oversized ones, the others whole."""
+    return split_items(_table(spark, sf_dir, "parent_child_units"), ["unit_id"], "child_text", 200, 40).select("unit_id", "text_hash", "piece", "n_tokens")
+
+
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces themselves, of all three fields."""
     sections, units = _table(spark, sf_dir, "block_sections"), _table(spark, sf_dir, "parent_child_units")
@@ -71,6 +95,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["p5_found"] = p5_found
 QUERIES["p5_pieces"] = p5_pieces
+QUERIES["p5_all"] = p5_all
 _TOKENS = r"len(regexp_extract_all({0}, '[\pL\pN_]+|[^\pL\pN_\s\x1c-\x1f\x85\pZ]'))"
 ORACLE["p5_found"] = f"""
 select distinct 'section' as field, page_id, section_index as idx from block_sections where {_TOKENS.format("text")} > 500
@@ -141,7 +166,19 @@ def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", _table(spark, sf_dir, "mix_targets"), temperature=True)[1]
 
 
+def p8_tempered_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of that mix."""
+    return mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", _table(spark, sf_dir, "mix_targets"), temperature=True)[0]
+
+
+def p8_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares when the natural ones are tempered to an entropy of 2.2 nats, as far as the repetition limits allow."""
+    return mix(_table(spark, sf_dir, "documents"), "doc_id", "text", "source", _table(spark, sf_dir, "mix_targets"), target_entropy=2.2, temperature=True)[1]
+
+
 QUERIES["p8_mix"] = p8_mix
+QUERIES["p8_tempered_mix"] = p8_tempered_mix
+QUERIES["p8_entropy"] = p8_entropy
 QUERIES["p8_tempered"] = p8_tempered
 QUERIES["p8_shares"] = p8_shares
 
@@ -150,7 +187,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return furniture(_table(spark, sf_dir, "crawl_pages"), "page_id", site("origin"), "blocks", "content_html")
 
 
+def p6_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks of each page are left as its body."""
+    return main_blocks(_table(spark, sf_dir, "crawl_pages"), "page_id", site("origin"), "blocks", "content_html").select("page_id", F.size("blocks").alias("blocks")).distinct()
+
+
 QUERIES["p6_found"] = p6_found
+QUERIES["p6_clean"] = p6_clean
 
 
 def p4_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:

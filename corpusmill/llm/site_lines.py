@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.session import materialize, small_enough
+from corpusmill.session import held, materialize
 
-#: Rows of a set that may be broadcast: two longs each, so at most 3 MB.
-BROADCAST_ROWS = 100_000
+#: Rows of a set that may be broadcast: two longs each, some 20 MB as a hashed relation.
+BROADCAST_ROWS = 400_000
+#: Pages whose lines to drop may be broadcast.
+DROP_PAGES = 20_000
 
 
 def line_key(line: Column) -> Column:
@@ -27,25 +29,20 @@ def page_lines(pages: DataFrame, page_id: str, source: Column, blocks: str) -> D
 def repeated_lines(pages: DataFrame, page_id: str, source: Column, blocks: str, least_pages: int = 5, width: int = 1 << 16) -> DataFrame:
     """Every occurrence (page_id, block_pos, line_no) of a line that stands on least_pages distinct pages of its source.
 
-    First pass: a count-min summary per source, `width` counters each, built by a partial sum in every task and merged
+    The lines are hashed once and written; the passes read that table. First pass: a count-min summary per source, `width` counters each, built by a partial sum in every task and merged
     by adding. It never counts a line too low, so a counter below least_pages rules its lines out. Second pass: exact
     distinct page counts of the lines that remain. A source so large that every counter fills up has all its lines
     counted exactly; none is lost. Both passes sum before they shuffle, so a source with a third of all pages
     costs its tasks no more than the summary's width. Pages delivered twice (same page_id) count once. Pages without
     id or source, null blocks and empty tables give no rows; other columns are not touched.
     """
-    lines = page_lines(pages, page_id, source, blocks)
+    lines = materialize(page_lines(pages, page_id, source, blocks), "lines")
     cell = F.pmod("h", F.lit(width)).cast("int")
     summary = lines.select("src", cell.alias("cell")).groupBy("src", "cell").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages).select("src", "cell")
-    summary = materialize(summary, "linesummary")
-    if small_enough(summary, BROADCAST_ROWS):
-        summary = F.broadcast(summary)
-    likely = lines.withColumn("cell", cell).join(summary, ["src", "cell"], "left_semi")
+    likely = lines.withColumn("cell", cell).join(held(materialize(summary, "linesummary"), BROADCAST_ROWS), ["src", "cell"], "left_semi")
     counted = likely.select("src", "h", "page_id").distinct().groupBy("src", "h").agg(F.count("*").alias("n"))
     sure = materialize(counted.where(F.col("n") >= least_pages).select("src", "h"), "linesure")
-    if small_enough(sure, BROADCAST_ROWS):
-        sure = F.broadcast(sure)
-    return lines.join(sure, ["src", "h"], "left_semi").select("page_id", "block_pos", "line_no").distinct()
+    return lines.join(held(sure, BROADCAST_ROWS), ["src", "h"], "left_semi").select("page_id", "block_pos", "line_no").distinct()
 
 
 def remove_repeated_lines(pages: DataFrame, page_id: str, source: Column, blocks: str, least_pages: int = 5) -> DataFrame:
@@ -55,7 +52,8 @@ def remove_repeated_lines(pages: DataFrame, page_id: str, source: Column, blocks
     the same treatment, rows without page_id none.
     """
     found = repeated_lines(pages, page_id, source, blocks, least_pages)
-    drop = found.groupBy(F.col("page_id").alias("_mill_page")).agg(F.collect_set(F.struct("block_pos", "line_no")).alias("_mill_drop"))  # bounded by the page's own lines
+    drop = materialize(found.groupBy(F.col("page_id").alias("_mill_page")).agg(F.collect_set(F.struct("block_pos", "line_no")).alias("_mill_drop")), "linedrop")  # bounded by the page's own lines
+    drop = held(drop, DROP_PAGES)
     joined = pages.join(drop, F.col(page_id) == F.col("_mill_page"), "left")
 
     def clean(b: Column, pos: Column) -> Column:

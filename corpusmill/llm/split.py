@@ -87,7 +87,7 @@ def cut(texts: list[str], limit: int, overlap: int) -> list[tuple[int, int, int,
 
 
 def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int, overlap: int) -> DataFrame:
-    """The pieces of every item of more than `limit` tokens: keys, piece (from 0), start_char, end_char, n_tokens, piece_text.
+    """The pieces of every item of more than `limit` tokens: keys, text_hash (tells texts of the same keys apart), piece (from 0), start_char, end_char, n_tokens, piece_text.
 
     Pieces have at most `limit` tokens; consecutive ones share exactly `overlap` tokens. Items within the limit,
     null and blank texts give no rows (split_items keeps them). Rows that repeat keys and text count once. Null
@@ -99,8 +99,8 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int, overl
     names = [f"_k{n}" for n in range(len(keys))]
     src = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(text).alias("_text"))
     big = src.where((F.length("_text") > limit) & (token_count(F.col("_text")) > limit))
-    big = big.withColumn("_h", F.xxhash64("_text")).dropDuplicates([*names, "_h"]).drop("_h")
-    schema = T.StructType([*[T.StructField(k, big.schema[n].dataType) for k, n in zip(keys, names, strict=True)], T.StructField("piece", T.IntegerType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("piece_text", T.StringType())])
+    big = big.withColumn("_h", F.xxhash64("_text")).dropDuplicates([*names, "_h"])
+    schema = T.StructType([*[T.StructField(k, big.schema[n].dataType) for k, n in zip(keys, names, strict=True)], T.StructField("text_hash", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start_char", T.LongType()), T.StructField("end_char", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("piece_text", T.StringType())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +116,7 @@ def split_oversized(df: DataFrame, keys: list[str], text: str, limit: int, overl
                 if len(found):
                     number = np.arange(len(rows)) - np.searchsorted(rows, rows)
                     take = pa.array(rows + low)
-                    yield pa.record_batch([*[b.column(c).take(take) for c in range(len(names))], pa.array(number, pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int32()), pa.array([texts[low + f[0]][f[1] : f[2]] for f in found], pa.string())], names=schema.names)
+                    yield pa.record_batch([*[b.column(c).take(take) for c in range(len(names))], b.column(len(names) + 1).take(take), pa.array(number, pa.int32()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int32()), pa.array([texts[low + f[0]][f[1] : f[2]] for f in found], pa.string())], names=schema.names)
                 low = high
 
     return big.mapInArrow(pieces, schema)
@@ -127,5 +127,5 @@ def split_items(df: DataFrame, keys: list[str], text: str, limit: int, overlap:
     cut_up = split_oversized(df, keys, text, limit, overlap)
     whole = df.select(*keys, F.col(text).alias("piece_text")).where(F.col("piece_text").isNotNull())
     whole = whole.withColumn("n_tokens", token_count(F.col("piece_text")).cast("int")).where(F.col("n_tokens") <= limit).distinct()
-    whole = whole.select(*keys, F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_char"), F.length("piece_text").cast("long").alias("end_char"), "n_tokens", "piece_text")
+    whole = whole.select(*keys, F.xxhash64("piece_text").alias("text_hash"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start_char"), F.length("piece_text").cast("long").alias("end_char"), "n_tokens", "piece_text")
     return cut_up.unionByName(whole)

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from corpusmill.functions.public_tokens import DEFAULT_VOCABULARY, encoding
+from corpusmill.llm.public_tokens import DEFAULT_VOCABULARY, encoding
 from corpusmill.llm import mixing
 from corpusmill.llm.mixing import capped, entropy, exponent_for, mix, tempered, weights
 
