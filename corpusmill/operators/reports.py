@@ -39,7 +39,7 @@ TRUST = [rf"(?im)^(?:by|author:)[{BLANK}]+[^{BLANK}]+", r"\b(?:19|20)\d{2}\b", r
 TEMPLATES = ["what is {}", "{} alternatives", "{} pricing"]
 
 
-def _with_defaults(docs: DataFrame) -> DataFrame:
+def with_defaults(docs: DataFrame) -> DataFrame:
     for name, kind in (("evidence", EVIDENCE), ("json_ld", "array<string>"), ("technical", "struct<crawlable:boolean,status_code:int,load_time_ms:int>"), ("url", "string"), ("partial", "boolean")):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast(kind))
@@ -60,7 +60,7 @@ def verified_evidence(strict: bool = False) -> Column:
 
 def claims(docs: DataFrame) -> DataFrame:
     """P13, J10. One row a sentence: section, position, text, whether specific, and ids of the evidence that supports it."""
-    d = _with_defaults(docs).withColumn("valid", verified_evidence())
+    d = with_defaults(docs).withColumn("valid", verified_evidence())
     s = d.select("source_id", "valid", F.posexplode(generators.sections(F.col("text"))).alias("_n", "s"))
     c = s.select("source_id", "valid", F.col("_n").alias("section"), "s.section_id", "s.heading", F.posexplode_outer(text.sentences("s.text")).alias("n", "sentence"))
     own = text.query_form("sentence")
@@ -82,7 +82,7 @@ def fact_density(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def readiness_dimensions(docs: DataFrame) -> DataFrame:
     """P12. One row a document and dimension: score, null where the input cannot tell."""
-    d = _with_defaults(docs)
+    d = with_defaults(docs)
     heads = F.regexp_extract_all("text", F.lit(r"(?m)^(#{1,6})\s+.+?\s*$"), F.lit(1))
     levels = F.transform(heads, lambda h: F.length(h))
     skips = F.size(F.filter(levels, lambda x, i: (i > 0) & (x > F.get(levels, i - 1) + 1)))
@@ -159,7 +159,7 @@ def entity_coverage(docs: DataFrame, subject: str, other: str) -> DataFrame:
 
 def schema_nodes(docs: DataFrame) -> DataFrame:
     """P15, F15-F18. Structured-markup nodes that a document's text supports, as JSON, with the check of what is visible."""
-    d = _with_defaults(docs)
+    d = with_defaults(docs)
     context = F.lit("https://schema.org").alias("@context")
     title = F.nullif(F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1), F.lit(""))
     steps = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"(?m)^\s*\d+[.)]\s+(.+?)\s*$"), F.lit(1)), text.strip), lambda s: F.length(s) > 0)
@@ -192,7 +192,7 @@ def query_plan(queries: DataFrame, topics: DataFrame, most: int = 200) -> DataFr
 
 def findings(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """P17. By page and dimension: present (null when the page is partial and nothing was found), signals, opportunity; and kept columns."""
-    d = _with_defaults(pages).withColumn("m", generators.dimension_matches(F.col("text")))
+    d = with_defaults(pages).withColumn("m", generators.dimension_matches(F.col("text")))
     names = F.array(*map(F.lit, generators.DIMENSIONS))
     rows = d.select("source_id", *keep, "partial", "m", F.explode(names).alias("dimension"))
     own = F.filter("m", lambda x: x["dimension"] == F.col("dimension"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusmill.functions import text
 from corpusmill.functions.generators import DIMENSIONS, MOST_MATCHES, NO_ENTITY
 from corpusmill.functions.sites import SITE_PATTERN
+from corpusmill.operators import evidence
 from corpusmill.operators.reports import OPPORTUNITIES, READINESS
 from corpusmill.plans import sql
 from corpusmill.plans.sql import BLANK, PAGES, q, strip
@@ -111,3 +112,21 @@ COMPARISON = READINESS_ROWS.rstrip() + """, a as (select min(source_id) as id fr
 select x.dimension, x.score, y.best, round(x.score - y.best, 1) as delta from r x left join (select dimension, max(score) as best from r where source_id <> (select id from a) group by dimension) y using (dimension) where x.source_id = (select id from a)"""
 GAP_SOURCES = f"""with {DOCS}, {FINDINGS}, {_GAPS} select f.dimension, cast(null as varchar) as signal, f.source_id from findings f join gaps g on g.dimension = f.dimension and g.signal is null where f.role = 'competitor' and f.present
 union all select distinct 'topics', g.signal, s.source_id from gaps g join missing m on m.signal = g.signal join signals s on s.k = m.k and s.dimension = 'topics' and s.role = 'competitor'"""
+
+
+def _fill(template: str, **values: str) -> str:
+    for name, value in values.items():
+        template = template.replace("{" + name + "}", f"' || {value} || '")
+    return f"'{template}'"
+
+
+#: A score as it is written, with one place at least.
+_num = lambda x: f"(case when {x} = trunc({x}) then cast(cast({x} as bigint) as varchar) || '.0' else cast({x} as varchar) end)"
+SUMMARIES = f"with {DOCS}, {FINDINGS} select source_id, dimension, case when present then {_fill(evidence.FOUND, n='n', dimension='dimension')} when present is null then {_fill(evidence.UNKNOWN, dimension='dimension')} else {_fill(evidence.ABSENT, dimension='dimension')} end as summary from findings"
+DELTAS = f"""with c as ({COMPARISON}) select dimension, case when score is null and best is null then {_fill(evidence.BOTH_UNKNOWN, dimension='dimension')} when score is null then {_fill(evidence.SUBJECT_UNKNOWN, dimension='dimension', best=_num('best'))} when best is null then {_fill(evidence.BEST_UNKNOWN, dimension='dimension', score=_num('score'))}
+  else {_fill(evidence.DELTA, dimension='dimension', score=_num('score'), best=_num('best'), delta=_num('delta'), relation="case when delta > 0 then 'ahead of' when delta < 0 then 'behind' else 'tied with' end")} end as summary from c"""
+WARNINGS = f"with {DOCS} select source_id, {q(evidence.HEURISTIC)} || case when partial then chr(10) || {q(evidence.PARTIAL)} else '' end || case when role <> 'subject' then chr(10) || {q(evidence.DIGEST)} else '' end as warnings from docs"
+PROVENANCE = f"with {DOCS}, {CLAIMS}, v as (select source_id, bool_or(valid) as valid from claims group by source_id) select source_id, url, case when valid then 'e-' || source_id else '' end as evidence_ids from docs join (select page_id as source_id, url from {PAGES}) using (source_id) left join v using (source_id)"
+SENTENCE_EVIDENCE = f"""with s as ({SENTENCE_OFFSETS}), w as (select doc_id, text, case when "end" - start < 12 then greatest(0, start - (12 - ("end" - start))) else start end as a, start, "end" as e from s join documents using (doc_id)),
+x as (select doc_id, text, a, case when e - start < 12 then least(length(text), greatest(e, a + 12)) else e end as z from w)
+select doc_id, cast(a as int) as start_char, cast(z as int) as end_char, substr(text, a + 1, z - a) as quote, substr(sha256(doc_id || chr(31) || a || chr(31) || z || chr(31) || substr(text, a + 1, z - a)), 1, 24) as evidence_id from x"""

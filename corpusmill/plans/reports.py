@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.functions import generators, ids, text
+from corpusmill.functions import generators, ids, text, tokens
 from corpusmill.functions.sites import SITE_PATTERN, site
-from corpusmill.operators import assets, checks, ops, reports, retrieve, sections
+from corpusmill.operators import assets, checks, evidence, ops, reports, retrieve, sections
 from corpusmill.plans import report_sql, sql, unit_sql
-from corpusmill.plans.core import _MARKED, pages
+from corpusmill.plans.core import _MARKED, _units, pages
 from corpusmill.plans.core import ORACLE as CORE_ORACLE
 from corpusmill.plans.sql import PAGES
 from corpusmill.sources.tables import table, upsert
@@ -151,3 +151,34 @@ add(
     lambda s, d: assets.template_top_k(table(s, d, "embeddings").select(F.col("vec_id").alias("template_id"), "embedding", F.when(F.col("label") == 3, F.lit(" ")).otherwise(F.lit("text")).alias("body")), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 25).select("query_id", "template_id", "rank"),
     "select query_id, template_id, rank from (select query_id, template_id, label, row_number() over (partition by query_id order by score desc, template_id) as rank from (select q.vec_id as query_id, p.vec_id as template_id, p.label, list_dot_product(p.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(p.embedding::double[], p.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) as score from embeddings p, embeddings q where q.vec_id % 50 = 0) t) u where rank <= 20 and label <> 3",
 )
+
+# --- evidence, warnings, summaries, bookkeeping
+
+add("o34_sentence_evidence", lambda s, d: evidence.sentence_evidence(table(s, d, "documents").where("text is not null"), "doc_id").select("doc_id", "start_char", "end_char", "quote", "evidence_id"), report_sql.SENTENCE_EVIDENCE)
+add("o34_finding_evidence", lambda s, d: evidence.finding_evidence(docs(s, d)).select("source_id", "dimension", "quote", "evidence_id"))
+add("f50_finding_summaries", lambda s, d: reports.findings(docs(s, d)).select("source_id", "dimension", evidence.finding_summary(F.col("dimension"), F.col("present"), F.col("n")).alias("summary")), report_sql.SUMMARIES)
+add("f50_delta_summaries", lambda s, d: reports.readiness_comparison(docs(s, d), _first_of(s, d, "subject")).select("dimension", evidence.delta_summary(F.col("dimension"), F.col("score"), F.col("best"), F.col("delta")).alias("summary")), report_sql.DELTAS)
+add("f52_warnings", lambda s, d: evidence.warnings(docs(s, d).withColumn("source_digest", F.when(F.col("role") == "subject", F.sha2("text", 256)).otherwise(F.lit("0")))).select("source_id", F.array_join("warnings", "\n").alias("warnings")), report_sql.WARNINGS)
+add("f53_provenance", lambda s, d: evidence.provenance(docs(s, d)).select("source_id", "url", F.array_join("evidence_ids", " ").alias("evidence_ids")), report_sql.PROVENANCE)
+add("s07_links_removed", lambda s, d: evidence.delete_page(pages(s, d), table(s, d, "page_hits"), pages(s, d).agg(F.min("page_id")).first()[0] or "")[2], "select count(*) as links_removed from page_hits where page_id = (select min(page_id) from crawl_pages)")
+add("s07_pages_left", lambda s, d: evidence.delete_page(pages(s, d), table(s, d, "page_hits"), pages(s, d).agg(F.min("page_id")).first()[0] or "")[0].select("page_id"), "select distinct page_id from crawl_pages where page_id <> (select min(page_id) from crawl_pages)")
+
+
+def _stamp() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+add(
+    "f43_ready_at",
+    lambda s, d: table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("x", F.when(F.col("event_id") % 4 == 0, F.concat(_stamp(), F.lit("+00"))).when(F.col("event_id") % 4 == 1, F.concat(F.replace(_stamp(), F.lit(" "), F.lit("T")), F.lit("Z"))).when(F.col("event_id") % 4 == 2, F.concat(F.lit(" "), _stamp())).otherwise(F.lit("not yet"))).select("event_id", F.unix_micros(evidence.ready_at(F.col("x"))).alias("at")),
+    "select event_id, case when event_id % 4 < 3 then epoch_us(ts) end as at from events",
+)
+add("f42_status_rows", lambda s, d: evidence.status_rows(table(s, d, "crawl_runs").select("run_id", F.col("status").alias("state"), F.lit(None).cast("int").alias("pages_seen"))).select("run_id", "state", "pages_seen", "chunks_upserted", "trigger").distinct(), "select distinct run_id, coalesce(nullif(status, ''), 'failed') as state, 0::bigint as pages_seen, 0::bigint as chunks_upserted, 'manual' as trigger from crawl_runs")
+add("r19_trigger_order", lambda s, d: evidence.trigger_order(table(s, d, "crawl_runs")).select("run_id"), "select run_id from (select distinct run_id, content_ready_at from crawl_runs where content_ready_at is not null and rag_indexed_at is null) order by run_id")
+_KEYED = f"(select sha256(child_text) as key, child_index, len(regexp_extract_all(child_text, {sql.q(unit_sql.TOKEN)})) as n from {unit_sql.DISTINCT_UNITS})"
+add(
+    "a19_embedding_stats",
+    lambda s, d: evidence.embedding_stats(_units(s, d).select(F.sha2("child_text", 256).alias("key"), "child_text"), _units(s, d).where("child_index = 0").select(F.sha2("child_text", 256).alias("key")), 150, tokens.token_count(F.col("child_text"))),
+    f"with k as {_KEYED}, u as (select key, count(*) as c, count(*) filter (where n > 150) as l from k group by key) select cast(sum(c) as bigint) as texts, count(*) as different, count(*) filter (where key in (select key from k where child_index = 0)) as hits, count(*) filter (where key not in (select key from k where child_index = 0)) as misses, cast(sum(l) as bigint) as truncated from u",
+)
+add("o18_refused_texts", lambda s, d: table(s, d, "documents").select("doc_id", evidence.refused(F.col("text")).alias("refused")), "select doc_id, coalesce(" + " or ".join([f"contains(lower(text), {sql.q(m)})" for m in evidence.FORBIDDEN_MARKERS] + [f"regexp_matches(text, {sql.q(p)})" for p in evidence.FORBIDDEN]) + ", false) as refused from documents")

@@ -122,3 +122,4 @@ f as (select page_id, g, {strip("a.href")} as href, arg_min({strip("coalesce(a.l
 select page_id, cast(section_index as int) as section_index, count(*) as links, count(*) filter (where length(label) > 0) as labelled from f join i using (page_id, g) group by page_id, section_index"""
 
 PARENTS = f"{_run()} select page_id, chunk_key, text_digest from n where chunk_role = 'parent'"
+DISTINCT_UNITS = "(select distinct unit_id, page_id, run_id, section_title, parent_index, child_index, parent_text, child_text from parent_child_units)"
