@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import assets, checks, index, ops, reports, retrieve, sections, verify
+from corpusmill.operators import assets, checks, evidence, index, ops, reports, retrieve, sections, verify
 from corpusmill.sources import tables
 from corpusmill.streaming import streams
 
@@ -284,3 +284,106 @@ def test_first_entities_by_ord(spark):
     few = spark.range(6000).selectExpr("cast(id as string) entity_id", "'n' entity_name", "'t' source_type", "concat('h', id, '.example') domain", "6000 - id as ord")
     hosts = spark.createDataFrame([("h5999.example",), ("h0.example",)], "host string")
     assert [r.host for r in index.resolve_entities(hosts, few).collect()] == ["h5999.example"]
+
+
+def test_page_units_are_the_units_of_the_page(spark):
+    body = " ".join(f"word{k} sits here." for k in range(400))
+    rows = [("p1", [block("heading", "One"), block("paragraph", body), block("heading", "Two"), block("paragraph", "short text")]), ("p2", [block("paragraph", body + body)]), ("p3", []), ("p4", [block("paragraph", " ")])]
+    df = page(spark, rows)
+    one = {(r.page_id, r.parent_index, r.child_index, r.parent_text, r.child_text, r.section_title) for r in sections.units(sections.page_sections(df)).collect()}
+    two = sections.page_units(df, ()).select("page_id", "parent_index", "section_title", "parent_text", F.explode("children").alias("c")).collect()
+    assert one == {(r.page_id, r.parent_index, r.c.child_index, r.parent_text, r.c.text, r.section_title) for r in two} and len(one) > 10
+
+
+def test_index_counts_add_up(spark):
+    body = "The clerks of the town keep the ledger in a box that nobody but the owner has ever opened for them. " * 2
+    rows = [("p1", [block("heading", "Ledger"), block("paragraph", body)]), ("p2", [block("heading", "Ledger"), block("paragraph", body)]), ("p3", [block("paragraph", "Home")]), ("p4", [block("paragraph", "Der Vertrag ist nicht das, was die Kunden von der Firma für sich wollten, und das auch. " * 3)]), ("p5", [])]
+    df = page(spark, rows)
+    r = index.index_counts(df).collect()
+    assert sum(x.pages_seen for x in r) == 5 and sum(x.skipped_unusable for x in r) == 5 - sum(x.pages_english for x in r)
+    assert sum(x.skipped_lang for x in r) == 2 and sum(x.skipped_empty for x in r) == 3
+    assert sum(x.chunks_upserted for x in r) == index.index_run(df).count() == 1 and sum(x.chunks_skipped_repeat for x in r) == 1
+    with pytest.raises(ValueError):
+        index.index_run(df, most_pages=4)
+
+
+def test_pages_without_a_run_are_indexed(spark):
+    body = "The clerks of the town keep the ledger in a box that nobody but the owner has ever opened for them. " * 2
+    df = page(spark, [("p1", [block("paragraph", body)]), ("p2", [block("paragraph", body)])]).withColumn("run_id", F.lit(None).cast("string"))
+    assert [r.page_id for r in index.index_run(df).collect()] == ["p1"]
+
+
+def test_latest_pages_equals_latest(spark):
+    df = spark.range(60).selectExpr("cast(id % 45 as string) page_id", "timestamp_seconds(id) arrived_at", "id x").unionByName(spark.sql("select cast(null as string) page_id, timestamp_seconds(1) arrived_at, 1L x"))
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    assert rows(index.latest_pages(df)) == rows(index.latest(df, "page_id", "arrived_at"))
+
+
+def test_reranked_pool(spark):
+    pool = spark.createDataFrame([(1, f"p{k}", k, "red ledger" if k == 60 else "blue box red" if k == 7 else "x", "red ledger") for k in range(1, 70)], "query_id int, point_id string, rank int, document string, query_text string")
+    got = retrieve.rerank(pool, 8, retrieve.overlap_score).orderBy("rank").collect()
+    assert len(got) == 40 and [r.point_id for r in got][:3] == ["p7", "p1", "p2"] and got[0].score == 0.5
+
+
+def test_hybrid_with_conditions_and_reranker(spark):
+    rows = [(f"p{k}", f"pg{k}", "child" if k % 2 else "parent", "en", f"text about ledgers number {k}", [1.0, float(k)]) for k in range(20)]
+    p = spark.createDataFrame(rows, "point_id string, page_id string, chunk_role string, language string, embed_text string, embedding array<float>")
+    p = p.selectExpr("*", "embed_text as child_text", "embed_text as parent_text", "'s' as section_title", "'https://a.example' as url", "'https://a.example' as final_url")
+    q = spark.createDataFrame([(1, "ledgers number 9", [1.0, 3.0])], "query_id int, text string, vector array<float>")
+    hits = retrieve.hybrid(p, q, 4, prefer_child=True, reranker=retrieve.overlap_score, language="en").orderBy("position").collect()
+    assert [h.point_id for h in hits][0] == "p9" and {h.chunk_role for h in hits} == {"child"} and len(hits) == 4
+
+
+def test_query_sets_in_blocks(spark, monkeypatch):
+    rows = [(k, [float(k % 7), float(k % 5) + 1]) for k in range(50)]
+    p = spark.createDataFrame(rows, "point_id int, embedding array<float>")
+    q = p.selectExpr("point_id as query_id", "embedding as vector")
+    whole = sorted(map(tuple, retrieve.dense_top_k(p, q, 3).collect()))
+    monkeypatch.setattr(retrieve, "QUERY_BYTES", 600)
+    assert sorted(map(tuple, retrieve.dense_top_k(p, q, 3).collect())) == whole and len(whole) == 150
+
+
+def test_terms_of_any_script(spark):
+    p = spark.createDataFrame([("a", "Договор и счёт"), ("b", "the ledger")], "point_id string, embed_text string")
+    q = spark.createDataFrame([(1, "счёт")], "query_id int, text string")
+    assert [r.point_id for r in retrieve.sparse_top_k(p, q, 5).collect()] == ["a"]
+
+
+def test_fallback_entity(spark):
+    hosts = spark.createDataFrame([("docs.a.example", "Site"), ("b.example", None), ("", "x"), (None, "x")], "host string, t string")
+    e = spark.createDataFrame([("1", "A", "brand", "a.example", 0)], "entity_id string, entity_name string, source_type string, domain string, ord int")
+    got = {tuple(r) for r in index.resolve_entities(hosts, e, crawl_type="t").collect()}
+    assert got == {("docs.a.example", "Site", "1", "A", "brand"), ("b.example", None, None, "b.example", "unknown")}
+
+
+def test_evidence(spark):
+    df = spark.createDataFrame([("s", "ab. Cdefghijklmnopq rs.", 4, 7), ("s", "ab", 0, 2)], "source_id string, text string, a int, b int")
+    left = [tuple(r.e) for r in df.select(evidence.widened(F.col("text"), F.col("a"), F.col("b")).alias("e")).collect()]
+    both = [tuple(r.e) for r in df.select(evidence.widened(F.col("text"), F.col("a"), F.col("b"), True).alias("e")).collect()]
+    assert left == [(0, 12, "ab. Cdefghij"), (0, 2, "ab")] and both == [(0, 13, "ab. Cdefghijk"), (0, 2, "ab")]
+    w = evidence.warnings(spark.createDataFrame([("s", "x", True, "0" * 64), ("t", "x", False, None)], "source_id string, text string, partial boolean, source_digest string")).collect()
+    assert {r.source_id: len(r.warnings) for r in w} == {"s": 3, "t": 1}
+    at = spark.createDataFrame([("2026-09-24 12:32:44.213000+00",), ("2026-09-24T12:32:44Z",), ("2026-09-24T14:32+02:00",), ("2026-09-24",), ("soon",), ("",), (None,)], "x string")
+    got = [r[0] for r in at.select(F.unix_seconds(evidence.ready_at(F.col("x")))).collect()]
+    assert got == [1790253164, 1790253164, 1790253120, 1790208000, None, None, None]
+    pages, links, gone = evidence.delete_page(df.selectExpr("source_id as page_id"), df.selectExpr("source_id as page_id"), "s")
+    assert (pages.count(), links.count(), gone.first()[0]) == (0, 0, 2)
+    assert evidence.delete_page(pages, links, "")[2].first()[0] == 0
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, monkeypatch):
+    from corpusmill import session
+
+    class Context:
+        master = "spark://x:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(type("S", (), {"sparkContext": Context()})())
+
+
+def test_a_text_over_the_batch_limit_is_an_error(spark):
+    df = spark.createDataFrame([(1, "a b c d")], "i int, t string")
+    with pytest.raises(Exception, match="more tokens"):
+        sections.batched(df, "i", "t", 5, 3).collect()
