@@ -34,7 +34,7 @@ HOT_BUCKET, BLOCK = 64, 4096
 #: Rows of one or two longs that may be broadcast: some 16 MB as a hashed relation.
 BROADCAST_ROWS = 200_000
 #: Segments a record is dealt to at once, on average (about a third of them carry enough to join); the rest follows in further passes, whose disk is freed in between.
-PASS_SEGMENTS = 120
+PASS_SEGMENTS = 60
 #: However few records there are, so many segments fit into one pass; and there are never more passes than this.
 PASS_LEAST, MOST_PASSES = 4_000_000, 24
 #: Edits may fall on rare words more often than on others.
@@ -321,7 +321,7 @@ def _dense_pairs(hot: DataFrame, made: DataFrame, least: float) -> DataFrame:
 
 def _pass_pairs(made: DataFrame, bits: dict[str, float], least: float, low: int, high: int) -> DataFrame:
     """(a, b): the contents that agree on a segment numbered low to high - 1."""
-    made_now = materialize(made.select("kind", "content", "n", "tokens", "quarters").mapInArrow(_segments(bits, least, low, high), "content long, keys array<long>"), "keys")
+    made_now = materialize(made.where(F.array_max("counts") > low).select("kind", "content", "n", "tokens", "quarters").mapInArrow(_segments(bits, least, low, high), "content long, keys array<long>"), "keys")
     segments = made_now.select("content", F.explode("keys").alias("seg"))
     # u_lo, u_hi, m and the sum of u tell whether a bucket holds just two contents, however often each: then the sum is
     # m * u_lo plus a multiple of u_hi - u_lo, which by chance happens once in billions
