@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import ids, text
+from corpusmill.operators.checks import executable_entries
+from corpusmill.operators.index import embed_distinct
 from corpusmill.operators.retrieve import dense_top_k
 from corpusmill.operators.sections import window_spans
-from corpusmill.session import small_enough
+from corpusmill.session import held, materialize, small_enough
 
 #: Columns by which a manifest entry names a point, and by which a runtime manifest does.
 ENTRY_KEY = ["owner_id", "asset_id", "asset_version_id", "resource_id", "resource_digest", "asset_version_digest"]
@@ -72,11 +74,46 @@ def covering_source(chunks: DataFrame, sources: DataFrame, key: str) -> DataFram
     return chunks.join(first, [key, "start_char"], "left")
 
 
+def index_assets(revisions: DataFrame, entries: DataFrame, sources: DataFrame | None = None, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """P9. (points, new cache rows) of the revisions that a manifest lists: chunks with offsets, the source whose
+    span covers their start (J8), an eligible mark, and vectors embedded once a text.
+
+    revisions: the columns of ENTRY_KEY, text and what else a point carries; entries: the manifest, which has to hold (checks).
+    sources: resource_digest, start_char, end_char, label, ord. Listed entries without a revision give nothing.
+    """
+    listed = allowed(revisions, executable_entries(entries))
+    chunks = asset_chunks(listed.select("resource_digest", "text").distinct())
+    chunks = chunks.withColumnRenamed("digest", "resource_digest")
+    if sources is not None:
+        chunks = covering_source(chunks, sources, "resource_digest")
+    made, fresh = embed_distinct(chunks.withColumnRenamed("text", "embed_text"), cache)
+    points = listed.drop("text").distinct().join(made, "resource_digest").withColumn("manifest_eligible", F.lit(True))
+    return points.withColumn("point_id", F.concat_ws(":", *ENTRY_KEY[:4], "chunk_id")), fresh
+
+
 def asset_top_k(points: DataFrame, entries: DataFrame, queries: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
-    """R12, P10. Dense top k among the points a manifest allows."""
+    """R12. Dense top k among the points a manifest allows."""
     return dense_top_k(allowed(points, entries, keys).where("manifest_eligible"), queries, k)
 
 
+def query_assets(points: DataFrame, entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """P10. The hits of each query among the points a valid manifest lists, with their columns. Raises when a hit matches no entry on all
+    key columns (J7), as a store that was changed behind the manifest could return."""
+    valid = executable_entries(entries)
+    top = materialize(asset_top_k(points, valid, queries, k), "assethits")
+    hits = points.join(held(top), "point_id")
+    assert_allowed(hits, valid)
+    return hits
+
+
+def delete_revision(points: DataFrame, entries: DataFrame, asset_version_id: str, resource_id: str) -> DataFrame:
+    """P11. What stays when one revision's resource goes. Raises unless exactly one entry names it."""
+    one = entries.where((F.col("asset_version_id") == asset_version_id) & (F.col("resource_id") == resource_id)).select(*ENTRY_KEY)
+    if one.limit(2).count() != 1:
+        raise ValueError("exactly one entry has to name the resource")
+    return delete_rows(points, one, ENTRY_KEY)
+
+
 def template_filter(templates: DataFrame, owner: str | None = None, channel: str | None = None, framework: str | None = None, entity_tags: list[str] | None = None) -> DataFrame:
     """O14."""
     if owner is not None:

@@ -34,11 +34,15 @@ def wrong_digests(df: DataFrame, body: str, digest: str) -> DataFrame:
 
 
 def executable_entries(entries: DataFrame, most: int = 500) -> DataFrame:
-    """Manifest entries that may be used: approved or deprecated, of one owner, not expired. Raises beyond `most` entries."""
+    """Manifest entries that may be used: approved or deprecated, of one owner, not expired. Raises beyond `most` entries, for
+    several owners, and where two entries name one resource of a version."""
     if entries.limit(most + 1).count() > most:
         raise ValueError(f"a manifest has at most {most} entries")
     if entries.select("owner_id").distinct().limit(2).count() > 1:
         raise ValueError("a manifest has one owner")
+    named = [c for c in ("asset_version_id", "resource_id", "resource_digest") if c in entries.columns]
+    if named:
+        require_none(repeated(entries, *named), "the entries of a manifest are unique")
     return entries.where(F.col("lifecycle").isin("approved", "deprecated") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.current_timestamp())))
 
 

@@ -106,6 +106,43 @@ def cleanup_counts(pages: DataFrame) -> DataFrame:
     return d.agg(F.count_if("failed").alias("failed"), F.count_if("refused").alias("refused"), F.count_if("error").alias("error"), F.count_if("any").alias("any_reason"), F.count_if(~F.col("any")).alias("kept"))
 
 
+#: Serial numbers, versions and names with inner capitals, which a retrieval has to bind; and such words that are too common. Fixed values.
+CODE = r"\b(?:[A-Z][A-Z0-9]{1,}-[A-Z0-9]{2,}(?:-[A-Z0-9]+)*|\d+\.\d+\.\d+|[A-Z][a-z]+[A-Z][a-zA-Z]{2,})\b"
+NO_CODE = "HTTP-API B-2-B SOC-2 ISO-27001 JavaScript TypeScript PowerPoint SharePoint LinkedIn YouTube WordPress PayPal iPhone iPad eCommerce ePayments".split()
+
+
+def gate_sample(points: DataFrame, most: int = 80, code: str = CODE) -> DataFrame:
+    """P25. Questions for a retrieval gate: stratum, need, run_id, host, expect_literal, parent_child_ratio; at most half of `most` a stratum.
+
+    literal: a term of five characters or more that stands in a passage, each term once, one a point (the point's entity
+    first, if its text has it); wide_parent: the section title of a passage whose parent is at least twice as long. Points count by id, so that the
+    same points give the same sample.
+    """
+    half = max(1, most // 2)
+    p = points.where(F.col("run_id").isNotNull() & (F.length(F.trim("child_text")) > 0)).withColumn("child", F.trim("child_text")).withColumn("parent", F.trim(F.coalesce("parent_text", F.lit(""))))
+    entity = F.trim(F.coalesce("entity_name", F.lit(""))) if "entity_name" in points.columns else F.lit("")
+    own = F.when((F.length(entity) > 3) & F.lower("child").contains(F.lower(entity)), F.array(entity)).otherwise(F.array().cast("array<string>"))
+    terms = F.filter(F.concat(own, F.regexp_extract_all("child", F.lit(f"({code})"), F.lit(1))), lambda t: (F.length(t) >= 5) & ~t.isin(NO_CODE))
+    each = p.select("point_id", "run_id", "host", F.posexplode(terms).alias("n", "need"))
+    # a term belongs to the first point that has it, a point asks for the first term that belongs to it
+    first = each.groupBy("need").agg(F.min(F.struct("point_id", "n", "run_id", "host")).alias("f")).select("need", "f.*")
+    literal = first.groupBy("point_id").agg(F.min(F.struct("n", "need", "run_id", "host")).alias("f")).orderBy("point_id").limit(half)
+    literal = literal.select(F.lit("literal").alias("stratum"), "f.need", "f.run_id", "f.host", F.col("f.need").alias("expect_literal"), F.lit(None).cast("double").alias("parent_child_ratio"))
+    title = F.trim(F.coalesce("section_title", F.lit("")))
+    wide = p.where((F.length(title) > 0) & (F.length("parent") >= 2 * F.length("child"))).orderBy("point_id").limit(half)
+    wide = wide.select(F.lit("wide_parent").alias("stratum"), title.alias("need"), "run_id", "host", F.lit(None).cast("string").alias("expect_literal"), F.round(F.length("parent") / F.length("child"), 2).alias("parent_child_ratio"))
+    return literal.unionByName(wide)
+
+
+def gate_results(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """P25. asked (query_id, stratum, expect_literal) with the hits (query_id, position, text) of each question: stratum, rank of the first hit
+    that has the literal, number returned, error."""
+    has = F.lower("text").contains(F.lower("expect_literal"))
+    j = asked.join(hits.select("query_id", "position", "text"), "query_id", "left")
+    by = j.groupBy("query_id", "stratum").agg(F.min(F.when(has, F.col("position"))).alias("rank"), F.count("position").alias("returned"))
+    return by.withColumn("error", F.lit(False))
+
+
 def gate_summary(results: DataFrame) -> DataFrame:
     """A16. results (stratum, expected, rank?, error): by stratum asked, found, first, returned, errors."""
     return results.groupBy("stratum").agg(F.count("*").alias("asked"), F.count_if(F.col("rank").isNotNull()).alias("found"), F.count_if(F.col("rank") == 1).alias("first"), F.count_if(F.col("returned") > 0).alias("returned"), F.count_if("error").alias("errors"))

@@ -6,6 +6,9 @@ start_char, end_char), json_ld? (array of strings), technical? (crawlable, statu
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,7 +160,7 @@ def entity_coverage(docs: DataFrame, subject: str, other: str) -> DataFrame:
     return j.select("entity_key", F.coalesce("subject_name", "other_name").alias("name"), F.when(F.col("subject_name").isNull(), "missingOnSubject").otherwise("both").alias("status"))
 
 
-def schema_nodes(docs: DataFrame) -> DataFrame:
+def schema_nodes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """P15, F15-F18. Structured-markup nodes that a document's text supports, as JSON, with the check of what is visible."""
     d = with_defaults(docs)
     context = F.lit("https://schema.org").alias("@context")
@@ -174,7 +177,38 @@ def schema_nodes(docs: DataFrame) -> DataFrame:
     )
     out = d.withColumn("_pairs", generators.faq_pairs(F.col("text"))).select("source_id", "text", F.explode(F.filter(nodes, lambda n: n.isNotNull())).alias("n"))
     body = text.normalize("text")
-    return out.select("source_id", "n.type", "n.node", F.forall("n.said", lambda s: body.contains(text.normalize(s))).alias("visible"))
+    return out.select("source_id", *keep, "n.type", "n.node", F.forall("n.said", lambda s: body.contains(text.normalize(s))).alias("visible"))
+
+
+#: Fields a node of each type needs, and what is said of the checks. Fixed values.
+REQUIRED = {"Article": ["headline", "articleBody"], "FAQPage": ["mainEntity"], "HowTo": ["name", "step"], "Product": ["name", "description"]}
+CHECKS = {
+    "jsonSyntax": ("Node is JSON serializable.", "Node is not valid JSON."),
+    "schemaShape": ("Required deterministic shape is present.", "Required fields are missing."),
+    "visibleContent": ("All generated content values occur in supplied visible content.", "At least one generated content value is not visible."),
+}
+
+
+def schema_checks(docs: DataFrame) -> DataFrame:
+    """P15, F19. Three rows a node: source_id, type, code, valid, detail. A node is well-formed JSON, has its type's fields, and says
+    nothing that does not stand in the text as it is."""
+
+    @F.pandas_udf("array<string>")
+    def strings(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: generators.content_strings(json.loads(x), frozenset(("@context", "@type", "url"))))
+
+    n = schema_nodes(docs, ("text",)).withColumn("said", strings.asNondeterministic()("node"))
+    has = lambda f: F.length(F.coalesce(F.get_json_object("node", f"$.{f}"), F.lit(""))) > F.when(F.get_json_object("node", f"$.{f}") == "[]", 2).otherwise(0)
+    shape = F.lit(False)
+    for kind, fields in REQUIRED.items():
+        whole = F.col("type") == kind
+        for f in fields:
+            whole = whole & has(f)
+        shape = shape | whole
+    shape = shape & (F.get_json_object("node", "$['@context']") == "https://schema.org")
+    found = {"jsonSyntax": F.lit(True), "schemaShape": F.coalesce(shape, F.lit(False)), "visibleContent": F.forall("said", lambda v: F.col("text").contains(v))}
+    rows = F.array(*[F.struct(F.lit(code).alias("code"), ok.alias("valid"), F.when(ok, CHECKS[code][0]).otherwise(CHECKS[code][1]).alias("detail")) for code, ok in found.items()])
+    return n.select("source_id", "type", F.explode(rows).alias("c")).select("source_id", "type", "c.*")
 
 
 def query_plan(queries: DataFrame, topics: DataFrame, most: int = 200) -> DataFrame:

@@ -59,6 +59,7 @@ add(
 add("p14_entities", lambda s, d: reports.entities(docs(s, d)).select("source_id", "entity_id", "name", "mentions", "confidence"), report_sql.ENTITIES)
 add("p14_relationships", lambda s, d: reports.relationships(docs(s, d)))
 add("p15_schema_nodes", lambda s, d: reports.schema_nodes(docs(s, d)).select("source_id", "type", "visible"))
+add("p15_schema_checks", lambda s, d: reports.schema_checks(docs(s, d)).select("source_id", "type", "code", "valid"))
 add("p17_findings", lambda s, d: reports.findings(docs(s, d)).select("source_id", "dimension", "present", "n"), report_sql.FINDING_ROWS)
 add("p18_content_gaps", lambda s, d: reports.content_gaps(docs(s, d)).select("dimension", "signal", "status", "confidence"), report_sql.GAP_ROWS)
 add("p20_audit_actions", lambda s, d: reports.audit_actions(docs(s, d)), report_sql.ACTIONS)

@@ -352,3 +352,63 @@ add(
     f"""with h as (select distinct host, crawl_type from {_TYPED} where length(host) > 0), e as (select source from mix_targets order by target_share, source limit 1)
     select host, crawl_type, case when own then source end as entity_id, case when own then source else host end as entity_name, case when own then 'listed' when coalesce(trim(crawl_type), '') = '' then 'unknown' else lower(trim(crawl_type)) end as source_type from (select *, host = 'harrowledger.example' or ends_with(host, '.harrowledger.example') as own from h) x, e""",
 )
+
+# --- the retrieval gate
+
+
+def _gate(s: SparkSession, d: str) -> DataFrame:
+    points = _units(s, d).select(F.col("unit_id").alias("point_id"), "run_id", "section_title", "parent_text", "child_text", "page_id").join(pages(s, d).select("page_id", site("origin").alias("host")), "page_id")
+    return ops.gate_sample(points, 80)
+
+
+_CODE = sql.q("(" + ops.CODE + ")")
+add(
+    "p25_gate_sample",
+    _gate,
+    f"""with p as (select unit_id as point_id, u.run_id, regexp_extract(lower(origin), {sql.q(SITE_PATTERN)}, 1) as host, trim(child_text) as child, trim(parent_text) as parent, trim(coalesce(section_title, '')) as title from {UNITS} u join (select page_id, origin from {PAGES}) x using (page_id) where u.run_id is not null and length(trim(child_text)) > 0),
+    l as (select *, list_filter(regexp_extract_all(child, {_CODE}, 1), lambda t: length(t) >= 5 and t not in ({", ".join(map(sql.q, ops.NO_CODE))})) as ts from p),
+    e as (select point_id, run_id, host, unnest(ts) as need, unnest(range(len(ts))) as n from l),
+    f as (select *, row_number() over (partition by need order by point_id, n) as k from e qualify k = 1),
+    o as (select *, row_number() over (partition by point_id order by n) as k2 from f qualify k2 = 1)
+    select * from (select 'literal' as stratum, need, run_id, host, need as expect_literal, cast(null as double) as parent_child_ratio from o order by point_id limit 40)
+    union all select * from (select 'wide_parent', title, run_id, host, null, cast(round(length(parent) / length(child), 2) as double) from p where length(title) > 0 and length(parent) >= 2 * length(child) order by point_id limit 40)""",
+)
+
+
+def _gate_summary(s: SparkSession, d: str) -> DataFrame:
+    asked = materialize(_gate(s, d).withColumn("query_id", F.xxhash64("stratum", "need", "run_id")).distinct(), "gate")
+    units = _units(s, d).select(F.col("unit_id").alias("point_id"), F.col("child_text").alias("embed_text"))
+    hits = retrieve.sparse_top_k(units, asked.select("query_id", F.col("need").alias("text")).distinct(), 8)
+    return ops.gate_summary(ops.gate_results(asked, hits.join(units.withColumnRenamed("embed_text", "text"), "point_id").withColumnRenamed("rank", "position")))
+
+
+add("p25_gate_run", _gate_summary)
+
+# --- governed assets: the evaluation passages as resources of six keys
+
+
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    key = F.col("item_id").cast("string")
+    return table(s, d, "eval_items").select(
+        F.lit("owner").alias("owner_id"), F.concat(F.lit("a"), F.pmod("item_id", F.lit(7))).alias("asset_id"), F.concat(F.lit("v"), key).alias("asset_version_id"), F.concat(F.lit("r"), key).alias("resource_id"),
+        F.sha2("text", 256).alias("resource_digest"), F.sha2(F.concat(F.lit("v"), "text"), 256).alias("asset_version_digest"), "item_id", "text", F.when(F.col("item_id") % 5 == 0, "revoked").otherwise("approved").alias("lifecycle"), F.lit(None).cast("timestamp").alias("expires_at"),
+    )
+
+
+def _asset_points(s: SparkSession, d: str) -> DataFrame:
+    e = _entries(s, d)
+    return assets.index_assets(e.select(*assets.ENTRY_KEY, "text"), e.select(*assets.ENTRY_KEY, "lifecycle", "expires_at"))[0]
+
+
+add("p09_asset_points", lambda s, d: _asset_points(s, d).select("resource_id", "start_char", "end_char", F.size("embedding").alias("width")), unit_sql.ASSET_POINTS)
+add("p11_revision_left", lambda s, d: assets.delete_revision(_asset_points(s, d), _entries(s, d), "v2", "r2").select("resource_id", "start_char"), f"select resource_id, start_char from ({unit_sql.ASSET_POINTS}) t where resource_id <> 'r2'")
+add("s15_allowed_points", lambda s, d: assets.allowed(_asset_points(s, d), _entries(s, d).where("item_id % 3 = 0")).select("resource_id", "start_char"), f"select resource_id, start_char from ({unit_sql.ASSET_POINTS}) t where cast(substr(resource_id, 2) as int) % 3 = 0")
+
+
+def _asset_hits(s: SparkSession, d: str) -> DataFrame:
+    points = materialize(_asset_points(s, d), "assetpoints")
+    asked = table(s, d, "eval_items").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), index.embed(F.col("need")).alias("vector"))
+    return assets.query_assets(points, _entries(s, d).where("item_id % 3 = 0"), asked, 5).select("query_id", "point_id", "rank")
+
+
+add("p10_asset_hits", _asset_hits)

@@ -123,3 +123,6 @@ select page_id, cast(section_index as int) as section_index, count(*) as links,
 
 PARENTS = f"{_run()} select page_id, chunk_key, text_digest from n where chunk_role = 'parent'"
 DISTINCT_UNITS = "(select distinct unit_id, page_id, run_id, section_title, parent_index, child_index, parent_text, child_text from parent_child_units)"
+ASSET_POINTS = f"""with i as (select item_id, {_ASSET} as t from eval_items where text is not null and item_id % 5 <> 0),
+p as (select *, {pieces('t')} as ps from i), w as (select item_id, unnest({windows('ps', 200, 40)}) as w from p where length(t) > 0)
+select 'r' || item_id as resource_id, cast(w.a as int) as start_char, cast(w.a + length(w.t) as int) as end_char, 384 as width from w"""

@@ -387,3 +387,46 @@ def test_a_text_over_the_batch_limit_is_an_error(spark):
     df = spark.createDataFrame([(1, "a b c d")], "i int, t string")
     with pytest.raises(Exception, match="more tokens"):
         sections.batched(df, "i", "t", 5, 3).collect()
+
+
+def manifest(spark, n=3, **change):
+    rows = [("o", "a", f"v{k}", f"r{k}", f"{k}" * 4, "d", "approved", None) for k in range(n)]
+    return spark.createDataFrame(rows, "owner_id string, asset_id string, asset_version_id string, resource_id string, resource_digest string, asset_version_digest string, lifecycle string, expires_at timestamp").withColumns(change)
+
+
+def test_governed_assets_from_revision_to_hit(spark):
+    e = manifest(spark)
+    revisions = e.drop("lifecycle", "expires_at").withColumn("text", F.concat(F.lit("the ledger of box "), "resource_id"))
+    sources = spark.createDataFrame([("0000", 0, 5, "first", 1), ("0000", 0, 50, "second", 2)], "resource_digest string, start_char int, end_char int, label string, ord int")
+    points, fresh = assets.index_assets(revisions, e.withColumn("lifecycle", F.when(F.col("resource_id") == "r2", "revoked").otherwise("approved")), sources)
+    got = {r.resource_id: r for r in points.collect()}
+    assert set(got) == {"r0", "r1"} and got["r0"].source_label == "first" and got["r1"].source_label is None and fresh.count() == 2
+    q = points.where("resource_id = 'r1'").select(F.lit(1).alias("query_id"), F.col("embedding").alias("vector"))
+    assert [r.resource_id for r in assets.query_assets(points, e, q, 1).collect()] == ["r1"]
+    assert {r.resource_id for r in assets.delete_revision(points, e, "v1", "r1").collect()} == {"r0"}
+    with pytest.raises(ValueError):
+        assets.delete_revision(points, e, "v9", "r1")
+    with pytest.raises(ValueError):
+        assets.query_assets(points, e.unionByName(e), q, 1)
+    with pytest.raises(ValueError):
+        assets.index_assets(revisions, manifest(spark, 501))
+
+
+def test_gate_sample(spark):
+    rows = [("p1", "r", "NetSuite and NetSuite and YouTube", "Title", "x" * 100, None), ("p2", "r", "NetSuite uses AvaTax 1.2.3", "", "y", None), ("p3", None, "ZipLine", "T", "z" * 99, None), ("p4", "r", "the acme box", "T", "short", "Acme")]
+    df = spark.createDataFrame(rows, "point_id string, run_id string, child_text string, section_title string, parent_text string, entity_name string").withColumn("host", F.lit("h"))
+    got = {(r.stratum, r.need) for r in ops.gate_sample(df).collect()}
+    assert got == {("literal", "NetSuite"), ("literal", "AvaTax"), ("wide_parent", "Title")}
+    asked = spark.createDataFrame([(1, "literal", "AvaTax"), (2, "wide_parent", None)], "query_id int, stratum string, expect_literal string")
+    hits = spark.createDataFrame([(1, 1, "none"), (1, 2, "an avatax")], "query_id int, position int, text string")
+    assert {(r.stratum, r.rank, r.returned) for r in ops.gate_results(asked, hits).collect()} == {("literal", 2, 2), ("wide_parent", None, 0)}
+
+
+def test_schema_checks(spark):
+    text = "# The box\nWhy now?\nBecause\nof rain.\n\n1. Open it.\nName: Box\nDescription: a box"
+    df = spark.createDataFrame([("s", text), ("t", "1. Only a step."), ("u", "nothing")], "source_id string, text string")
+    got = {(r.source_id, r.type, r.code): r.valid for r in reports.schema_checks(df).collect()}
+    assert len(got) == 15 and all(v for (_, _, c), v in got.items() if c == "jsonSyntax")
+    # the lines of an answer are joined, so it does not stand in the text as it is; a list of steps without a title has no name
+    assert not got["s", "FAQPage", "visibleContent"] and got["s", "Article", "visibleContent"] and got["s", "Product", "schemaShape"]
+    assert not got["t", "HowTo", "schemaShape"] and got["t", "HowTo", "visibleContent"]
