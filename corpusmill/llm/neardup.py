@@ -37,6 +37,9 @@ BROADCAST_ROWS = 200_000
 PASS_SEGMENTS = 60
 #: However few records there are, so many segments fit into one pass; and there are never more passes than this.
 PASS_LEAST, MOST_PASSES = 4_000_000, 24
+#: A pass brings its segments together in so many shares of their values, one after the other: only one share's shuffle files lie on disk.
+SHARES = 4
+PARTITIONS = "spark.sql.shuffle.partitions"
 #: Edits may fall on rare words more often than on others.
 SLACK = 0.85
 WORD_BITS = 43
@@ -162,29 +165,27 @@ class Segments:
         """(record, segment word) of the segments numbered low to high - 1 in their part, by record."""
         keys: list[tuple[np.ndarray, np.ndarray]] = []
         for number, mask, b, pieces, slots, each, least in self.parts:
-            own = slots > low
-            use = mask & own[self.rec]
-            if not use.any():
-                continue
-            r0, t0, w0 = self.rec[use], self.tokens[use].astype(np.uint64), each[use]
-            rep = int(low // pieces[own].max())
-            while len(r0):
-                now = (rep + 1) * pieces[r0] > low
-                slot = rep * pieces[r0] + (_mix(t0, 10 + rep) % pieces[r0].astype(np.uint64)).astype(np.int64)
-                ok = now & (slot >= low) & (slot < np.minimum(slots[r0], high))
-                cell, t, w = r0[ok] << SLOT_BITS | slot[ok], t0[ok], w0[ok]
-                rep += 1
-                if len(cell):
-                    order = np.argsort(cell, kind="stable")
-                    cell, t, w = cell[order], _mix(t[order], 5), w[order]
-                    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-                    word = np.bitwise_xor.reduceat(t, begin)
-                    r = cell[begin] >> SLOT_BITS
-                    keep = np.add.reduceat(w, begin) >= least[r]
-                    r, place, word = r[keep], (cell[begin] & ((1 << SLOT_BITS) - 1))[keep], word[keep]
+            own, end = slots > low, np.minimum(slots, high)
+            # records of the same number of pieces are at the same hashing, so that no token is hashed that has no segment in the range
+            for p in np.unique(pieces[own]).tolist():
+                use = mask & (own & (pieces == p))[self.rec]
+                r0, t0, w0 = self.rec[use], self.tokens[use].astype(np.uint64), each[use]
+                rep = low // p
+                while len(r0):
+                    first = np.concatenate([[True], r0[1:] != r0[:-1]])
+                    x = _mix(t0, 10 + rep)
+                    cell = (np.cumsum(first) - 1) * p + (x - x // _U(p) * _U(p)).astype(np.int64)
+                    r = np.repeat(r0[first], p)
+                    place = np.tile(np.arange(rep * p, rep * p + p), len(r) // p)
+                    word = np.zeros(len(r), dtype=np.uint64)
+                    np.bitwise_xor.at(word, cell, _mix(t0, 5))
+                    keep = (np.bincount(cell, weights=w0, minlength=len(r)) >= least[r]) & (place >= low) & (place < end[r])
+                    r, place, word = r[keep], place[keep], word[keep]
                     keys.append((r, _mix(word ^ _mix((b[r] * 4 + number << SLOT_BITS | place).astype(np.uint64), 6), 7)))
-                more = rep * pieces[r0] < np.minimum(slots[r0], high)
-                r0, t0, w0 = r0[more], t0[more], w0[more]
+                    rep += 1
+                    more = end[r0] > rep * p
+                    if not more.all():
+                        r0, t0, w0 = r0[more], t0[more], w0[more]
         owner = np.concatenate([k[0] for k in keys]) if keys else np.zeros(0, dtype=np.int64)
         value = np.concatenate([k[1] for k in keys]) if keys else np.zeros(0, dtype=np.uint64)
         order = np.argsort(owner, kind="stable")
@@ -245,7 +246,7 @@ def _records(kinds: dict[str, int], known_words: dict[str, dict[int, int]], bits
     return run
 
 
-def _segments(bits: dict[str, float], nearest: float, low: int, high: int):
+def _segments(bits: dict[str, float], nearest: float, low: int, high: int, shares: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             lengths = whole.column(2).to_numpy().astype(np.int64)
@@ -258,12 +259,20 @@ def _segments(bits: dict[str, float], nearest: float, low: int, high: int):
                 need = np.array([bits[k] for k in b.column(0).to_pylist()])
                 made = Segments(b.column(2).to_numpy().astype(np.int64), b.column(3).flatten().to_numpy().view(np.uint32), b.column(4).flatten().to_numpy().astype(np.int64), need, nearest)
                 owner, value = made.words(low, high)
-                some, begin = np.unique(owner, return_index=True)
-                yield pa.record_batch([b.column(1).take(pa.array(some)), _lists(np.concatenate([begin, [len(owner)]]), value, pa.int64())], names=["content", "keys"])
+                some, row = np.unique(owner, return_inverse=True)
+                share, columns = value.view(np.uint64) % _U(shares), []
+                for k in range(shares):
+                    own = share == _U(k)
+                    columns.append(_lists(np.concatenate([[0], np.cumsum(np.bincount(row[own], minlength=len(some)))]), value[own], pa.int64()))
+                yield pa.record_batch([b.column(1).take(pa.array(some)), *columns], names=["content", *_shares(shares)])
 
     return run
 
 
+def _shares(shares: int) -> list[str]:
+    return [f"keys_{k}" for k in range(shares)]
+
+
 def passes(counts: dict[int, int], most: float) -> list[tuple[int, int]]:
     """Ranges of segment numbers that cover all segments and hold at most `most` of them, or one number. counts: how many have how many."""
     c = np.array(sorted(k for k in counts if k > 0), dtype=np.int64)
@@ -319,21 +328,48 @@ def _dense_pairs(hot: DataFrame, made: DataFrame, least: float) -> DataFrame:
     return met.groupBy("seg", "i", "j").applyInArrow(_within_bounds(least), "a long, b long")
 
 
-def _pass_pairs(made: DataFrame, bits: dict[str, float], least: float, low: int, high: int) -> DataFrame:
-    """(a, b): the contents that agree on a segment numbered low to high - 1."""
-    made_now = materialize(made.where(F.array_max("counts") > low).select("kind", "content", "n", "tokens", "quarters").mapInArrow(_segments(bits, least, low, high), "content long, keys array<long>"), "keys")
-    segments = made_now.select("content", F.explode("keys").alias("seg"))
+def _shared(segments: DataFrame) -> DataFrame:
+    """(seg, lo, hi, m, two): the segments of at least two contents. two: of just two, lo and hi."""
     # u_lo, u_hi, m and the sum of u tell whether a bucket holds just two contents, however often each: then the sum is
     # m * u_lo plus a multiple of u_hi - u_lo, which by chance happens once in billions
     part = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
     shared = segments.withColumn("u", part("content")).groupBy("seg").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.count("*").alias("m"), F.sum("u").alias("u")).where("lo < hi")
     step = part("hi") - part("lo")
     shared = shared.withColumn("two", F.when(step == 0, False).otherwise((F.col("u") - F.col("m") * part("lo")) % F.when(step == 0, 1).otherwise(step) == 0))
-    shared = materialize(shared.select("seg", "lo", "hi", "m", "two"), "segments")
+    return shared.select("seg", "lo", "hi", "m", "two")
+
+
+def _in_shares(shares: list[DataFrame], tag: str) -> list[DataFrame]:
+    """Each written after the other, with its share of the shuffle partitions: in more, the rows of a record would lie apart and compress less."""
+    spark = shares[0].sparkSession
+    usual = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, str(-(-int(usual) // len(shares))))
+    try:
+        return [materialize(x, tag) for x in shares]
+    finally:
+        spark.conf.set(PARTITIONS, usual)
+
+
+def _read(parts: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema as one scan."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*(f for x in parts for f in x.inputFiles()))
+
+
+def _pass_pairs(made: DataFrame, bits: dict[str, float], least: float, low: int, high: int) -> DataFrame:
+    """(a, b): the contents that agree on a segment numbered low to high - 1."""
+    names = _shares(SHARES)
+    made_now = materialize(made.where(F.array_max("counts") > low).select("kind", "content", "n", "tokens", "quarters").mapInArrow(_segments(bits, least, low, high, SHARES), ", ".join(["content long", *(f"{c} array<long>" for c in names)])), "keys")
+    segments = lambda c: made_now.select("content", F.explode(c).alias("seg"))
+    parts = _in_shares([_shared(segments(c)) for c in names], "segments")
+    shared = _read(parts)
     couples = shared.where("two").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
     more = shared.where("not two").select("seg", "m")
-    rows = segments.join(F.broadcast(more) if small_enough(more, BROADCAST_ROWS) else more, "seg").select("seg", "content", "m").distinct()
-    rows = materialize(rows, "buckets")
+    if small_enough(more, BROADCAST_ROWS):
+        met = [segments(F.concat(*names)).join(F.broadcast(more), "seg")]
+    else:
+        met = [segments(c).join(own.where("not two").select("seg", "m"), "seg") for c, own in zip(names, parts, strict=True)]
+    met = _in_shares([x.select("seg", "content", "m").distinct() for x in met], "buckets")
+    rows = _read(met)
     warm = rows.where(F.col("m") <= HOT_BUCKET).select("seg", "content")
     hot = rows.where(F.col("m") > HOT_BUCKET)
     dense = None
@@ -346,7 +382,7 @@ def _pass_pairs(made: DataFrame, bits: dict[str, float], least: float, low: int,
         dense = _dense_pairs(hot.join(one.select("seg"), "seg", "left_semi"), made, least)
     pairs = warm.select("seg", F.col("content").alias("a")).join(warm.select("seg", F.col("content").alias("b")), "seg").where("a < b").select("a", "b").union(couples)
     pairs = materialize((pairs if dense is None else pairs.union(dense)).distinct(), "passpairs")
-    for done in (made_now, shared, rows):
+    for done in (made_now, *parts, *met):
         discard(done)
     return pairs
 
@@ -370,7 +406,7 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
     and an exact count. A pair is found with a probability that grows with its similarity, from FOUND right at the limit
     on: a record joins by as many segments as that takes (slot_counts), however many records there are. They are joined in
     passes of PASS_SEGMENTS a record, each writing its pairs before the next begins, so that what lies on disk at once does
-    not grow with the number of segments. A bucket of more than HOT_BUCKET contents is compared
+    not grow with the number of segments; within a pass, segments are brought together in SHARES of their values. A bucket of more than HOT_BUCKET contents is compared
     block by block, where only pairs within the two bounds become rows; no pair is lost by that. Common words are
     counted by 32-bit hashes of (word, occurrence): a pair of n and m words gains a false one with a chance of n * m / 2**32.
 
@@ -403,8 +439,11 @@ def near_duplicates(records: DataFrame, kinds: dict[str, int], least: float = 0.
         discard(done)
 
     wanted = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
-    wanted = materialize(made.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "content", "left_semi").select("content", "kind", "n", "sketch", "tokens").dropDuplicates(["content"]), "wanted")
+    # copies are dropped in a step of its own, so that its shuffle files don't lie beside all sketches
+    copied = materialize(made.join(F.broadcast(wanted) if small_enough(wanted, BROADCAST_ROWS) else wanted, "content", "left_semi").select("content", "kind", "n", "sketch", "tokens"), "copied")
     discard(made)
+    wanted = materialize(copied.dropDuplicates(["content"]), "wanted")
+    discard(copied)
     side = lambda c: wanted.select(F.col("content").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
     most = F.greatest("n_a", "n_b")
     need = F.ceil(F.lit(least) * most - 1e-9)

@@ -133,3 +133,33 @@ def test_recall_at_the_limit_holds_for_any_record_count(records, n, pairs):
         for pair in np.unique(np.intersect1d(owner[even] // 2 * 2**50 + value[even] % 2**50, owner[~even] // 2 * 2**50 + value[~even] % 2**50) // 2**50).tolist():
             met.add(pair)
     assert len(met) >= 0.96 * pairs
+
+
+def test_a_pass_shuffles_a_share_of_its_segments_at_once(spark, monkeypatch):
+    """What a step of a pass writes to shuffle files, which is what lies on disk at once besides the tables."""
+    monkeypatch.setattr(neardup, "PASS_SEGMENTS", 10**6)
+    shuffled, held = [], []
+    materialize = neardup.materialize
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        seq = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {seq.apply(k).stageId(): seq.apply(k).shuffleWriteRecords() for k in range(seq.size())}
+
+    def watched(df, tag):
+        before = stages()
+        out = materialize(df, tag)
+        if tag == "keys":
+            held.append(sum(len(x) for r in out.collect() for x in r[1:]))
+            shuffled.append(0)
+        elif tag == "segments":
+            shuffled[-1] = max([shuffled[-1], *(n for k, n in stages().items() if k not in before)])
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", watched)
+    rng = random.Random(4)
+    rows = [("unit", k, t) for k, t in corpus(rng, 60, (60, 130))]
+    members, links = near_duplicates(frame(spark, rows), {"unit": 40})
+    assert {tuple(r) for r in all_pairs(members, links).collect()} == brute([r[1:] for r in rows], "unit", 40)
+    assert len(held) == 1 and held[0] > 5_000 and 0 < shuffled[0] <= 0.4 * held[0]
